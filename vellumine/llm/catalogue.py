@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm.chunking import LIMIT, split_texts
+from vellumine.llm.garble import garbled_texts
 from vellumine.llm.knn import nearest
 from vellumine.llm.leakage import build_index, leaked_phrases, near_passages
 from vellumine.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
@@ -74,7 +75,16 @@ def p9_near(spark: SparkSession, base: str) -> DataFrame:
     return near_passages(build_index(table(spark, base, "documents").select("doc_id", "text")), table(spark, base, "eval_items"))
 
 
-_RUNS = [p2_found, p2_pieces, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p9_near]
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return garbled_texts(table(spark, base, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, base: str) -> DataFrame:
+    """The garbled documents' spans and texts put right."""
+    return garbled_texts(table(spark, base, "documents"))
+
+
+_RUNS = [p2_found, p2_pieces, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_restored]
 QUERIES = {f.__name__: f for f in _RUNS}
 
 _ITEMS = "(SELECT 'records' AS item_table, id AS item_id, extracted_text AS t FROM records UNION SELECT 'record_embeddings', id, chunk_text FROM record_embeddings)"
