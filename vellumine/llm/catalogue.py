@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vellumine.llm.chunking import LIMIT, split_texts
 from vellumine.llm.garble import garbled_texts
 from vellumine.llm.knn import nearest
+from vellumine.llm.langid import declared, identify, language_sets, mislabelled
 from vellumine.llm.leakage import build_index, leaked_phrases, near_passages
 from vellumine.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from vellumine.llm.packing import CAPACITY, pack, token_counts
@@ -36,6 +37,32 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return out.select("item_table", "item_id", "piece", "pieces", "start", F.char_length("piece_text").alias("chars"), "piece_text")
 
 
+def _segments(spark: SparkSession, base: str) -> DataFrame:
+    records = table(spark, base, "records").select(
+        F.col("id").alias("record_id"),
+        F.col("did").alias("host"),
+        "collection",
+        declared(F.col("lang")).alias("label"),
+        F.regexp_extract("did", r"^did:web:.*\.([a-z]{2})$", 1).alias("suffix"),
+        F.col("extracted_text").alias("text"),
+    )
+    return identify(records)
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return mislabelled(_segments(spark, base))
+
+
+def p3_segments(spark: SparkSession, base: str) -> DataFrame:
+    """Every segment of every text with its language and confidence."""
+    return _segments(spark, base).distinct()
+
+
+def p3_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Every text's languages, with confidence and the number of their segments."""
+    return language_sets(_segments(spark, base).distinct())
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     members, links = near_duplicates(table(spark, base, "records"), words=3, threshold=Fraction(7, 10))
     return duplicate_pairs(members, links).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
@@ -84,7 +111,7 @@ def p10_restored(spark: SparkSession, base: str) -> DataFrame:
     return garbled_texts(table(spark, base, "documents"))
 
 
-_RUNS = [p2_found, p2_pieces, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_restored]
+_RUNS = [p2_found, p2_pieces, p3_found, p3_segments, p3_texts, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_restored]
 QUERIES = {f.__name__: f for f in _RUNS}
 
 _ITEMS = "(SELECT 'records' AS item_table, id AS item_id, extracted_text AS t FROM records UNION SELECT 'record_embeddings', id, chunk_text FROM record_embeddings)"
