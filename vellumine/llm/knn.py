@@ -34,7 +34,7 @@ PREFIX, FILES = 16, 3
 #: Vectors reranked per query and file.
 RERANK = 160
 #: Members of a file that one task holds at a time; a longer file is cut into tiles that meet in pairs.
-TILE = 4096
+TILE = 2048
 
 
 def usable(embedding: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,9 @@ def footrule(ranks: np.ndarray, prefix: int) -> np.ndarray:
             m, w = member[at:end], weight[at:end]
             shared[np.ix_(m, m)] += np.minimum.outer(w, w)
         at = end
-    return prefix * (prefix + 1) - 2 * shared.astype(np.int32)
+    shared *= -2
+    shared += np.int16(prefix * (prefix + 1))
+    return shared
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, sides: np.ndarray | None, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,9 +126,9 @@ def _best(ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, sides: np.nda
             sims = vectors[rows] @ vectors.T
         else:
             f = far[rows].copy()
-            f[np.arange(len(rows)), rows] = np.iinfo(np.int32).max
+            f[np.arange(len(rows)), rows] = np.iinfo(np.int16).max
             if sides is not None:
-                f[sides[rows][:, None] == sides[None, :]] = np.iinfo(np.int32).max - 1
+                f[sides[rows][:, None] == sides[None, :]] = np.iinfo(np.int16).max - 1
             # all that are as near as the last of the nearest are reranked too
             last = np.partition(f, rerank - 1, axis=1)[:, rerank - 1 : rerank]
             sims = np.full(f.shape, -2.0, dtype=np.float32)
