@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.functions.jsonpath import extract_text
 from vellumine.functions.text import BARE_DID, NAMED_TYPE, base_language
 
@@ -252,7 +253,7 @@ def _bodies(records: DataFrame, extra: Sequence[str], schema: str, rows_of: Call
             values = [pa.array(c) for c in zip(*out)] if out else [pa.nulls(0)] * len(names)
             yield pa.RecordBatch.from_arrays([ids, *[v.cast(pa.int32() if " int" in d else pa.string()) for v, d in zip(values, schema.split(", "))]], names=["record_id", *names])
 
-    return records.select("id", "record", *extra).filter("record is not null").mapInArrow(run, f"record_id {id_kind}, {schema}")
+    return by_batch(records.select("id", "record", *extra).filter("record is not null"), run, f"record_id {id_kind}, {schema}")
 
 
 def extract_links(records: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def extract_chunks(documents: DataFrame, size: int = 1800, overlap: int = 200) -
     trimmed = given.withColumn("text", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).filter("text <> ''")
     short = trimmed.filter(F.char_length("text") <= size).select("record_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
     long = trimmed.filter(F.char_length("text") > size)
-    return long.mapInArrow(run, f"record_id {kind}, chunk_index int, chunk_text string").unionByName(short)
+    return by_batch(long, run, f"record_id {kind}, chunk_index int, chunk_text string").unionByName(short)
 
 
 def record_language(body: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.functions.batches import by_batch
 from vellumine.operators import structural
 
 
@@ -57,7 +58,7 @@ def json_nodes(records: DataFrame, id_column: str, json_column: str, fields: boo
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     readable = records.select(F.col(id_column).alias("record_id"), F.col(json_column).alias("_body")).filter(F.col("_body").isNotNull() & (F.col("_body") != ""))
-    out = readable.mapInArrow(run, schema)
+    out = by_batch(readable, run, schema)
     tail = ["fields"] if fields else []
     return out.select("record_id", "node_path", "parent_path", F.regexp_replace("node_path", r"\[\d+\]", "[]").alias("table_path"), "place", *tail)
 

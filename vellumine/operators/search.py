@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.errors import InvalidRequest, ServiceUnavailable
+from vellumine.functions.batches import by_batch
 from vellumine.operators.paging import FUSED_LEG, clamp
 from vellumine.operators.records import filtered
 
@@ -187,7 +188,7 @@ def chunk_distances(embeddings: DataFrame, vector: Sequence[float]) -> DataFrame
             rows = pa.array(rows[good])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(d[good])], names=["id", "record_id", "distance"])
 
-    return embeddings.select("id", "record_id", "embedding").mapInArrow(run, "id long, record_id long, distance double")
+    return by_batch(embeddings.select("id", "record_id", "embedding"), run, "id long, record_id long, distance double")
 
 
 def best_chunks(embeddings: DataFrame, vector: Sequence[float], legs: int = FUSED_LEG) -> DataFrame:

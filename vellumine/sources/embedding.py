@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.errors import UpstreamFailure
 
 
@@ -84,7 +85,7 @@ def embed_chunks(chunks: DataFrame, provider: Provider, batch: int = 64) -> Data
                     errors += [str(e)] * len(part)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["record_id", "chunk_index", "chunk_text", "embedding", "error"])
 
-    return chunks.select("record_id", "chunk_index", "chunk_text").mapInArrow(run, f"record_id {kind}, chunk_index int, chunk_text string, embedding array<float>, error string")
+    return by_batch(chunks.select("record_id", "chunk_index", "chunk_text"), run, f"record_id {kind}, chunk_index int, chunk_text string, embedding array<float>, error string")
 
 
 #: Attempts after which a record's embedding counts as failed.
