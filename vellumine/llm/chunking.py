@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.functions.batches import by_batch
 from vellumine.llm.words import mix
 
 LIMIT, OVERLAP = 1800, 200
@@ -126,4 +127,4 @@ def split_texts(items: DataFrame, id_column: str, text_column: str, limit: int =
     blank = "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}]+"
     short = given.filter(~long).withColumn("t", F.regexp_replace("t", f"^{blank}|{blank}$", "")).filter("t <> ''")
     short = short.select("item_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).alias("start"), F.col("t").alias("piece_text"))
-    return given.filter(long).mapInArrow(run, schema).unionByName(short)
+    return by_batch(given.filter(long), run, schema).unionByName(short)

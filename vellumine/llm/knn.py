@@ -24,8 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.operators.joins import split_join
-from vellumine.session import checkpoint_root
+from vellumine.session import checkpoint_root, cut_lineage
 
 #: Pivots: PIVOT_FACTOR * sqrt(vectors), within these bounds; the upper one bounds what is broadcast.
 PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 4096
@@ -198,7 +199,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
                     names=["id", "key", "vector", "ranks", "files"],
                 )
 
-    index = vectors.mapInArrow(represent, "id long, key binary, vector binary, ranks binary, files array<int>")
+    index = by_batch(vectors, represent, "id long, key binary, vector binary, ranks binary, files array<int>")
     index = _written(index)
     posts = index.select("id", "key", "vector", "ranks", F.explode("files").alias("file"))
     # at most one row per pivot: the lengths of the files
@@ -224,7 +225,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
             for q, c, s in _best(ids, held, ranks, sides, k, rerank):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["q", "c", "s"])
 
-    found = posts.repartition("file", "a", "b").sortWithinPartitions("file", "a", "b").mapInArrow(search, "q long, c long, s double").distinct()
+    found = by_batch(posts.repartition("file", "a", "b").sortWithinPartitions("file", "a", "b"), search, "q long, c long, s double").distinct()
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "c"))).filter(F.col("r") <= k).drop("r")
     return _spread(vectors, found, width, k)
 
@@ -261,7 +262,8 @@ def _spread(vectors: DataFrame, found: DataFrame, width: int, k: int) -> DataFra
             rows, held = usable(batch.column(1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([_key(v) for v in held], pa.binary())], names=["id", "key"])
 
-    ids = vectors.mapInArrow(keyed, "id long, key binary").distinct()
+    # read several times below: the vectors are keyed once
+    ids = cut_lineage(by_batch(vectors, keyed, "id long, key binary").distinct())
     heads = ids.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     # the few least ids of a class can be anyone's neighbours; the limit is applied before the shuffle
     few = ids.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= k + 1)

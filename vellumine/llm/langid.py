@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.operators.joins import split_join
 from vellumine.session import cut_lineage
 
@@ -142,8 +143,8 @@ def fit(records: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
         return run
 
-    model = Model(_counts(sample.mapInArrow(counted(None), "w string, l int, n long")))
-    return Model(_counts(sample.mapInArrow(counted(model), "w string, l int, n long")))
+    model = Model(_counts(by_batch(sample, counted(None), "w string, l int, n long")))
+    return Model(_counts(by_batch(sample, counted(model), "w string, l int, n long")))
 
 
 def segment_scores(records: DataFrame, model: Model) -> DataFrame:
@@ -169,7 +170,7 @@ def segment_scores(records: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f for f in out if f], pa.list_(seg))], names=["record_id", "host", "collection", "label", "suffix", "segs"])
 
     given = records.select("record_id", "host", "collection", "label", "suffix", "text")
-    return given.mapInArrow(run, f"record_id {kind}, host string, collection string, label string, suffix string, segs array<struct<start int, end int, logs array<float>>>")
+    return by_batch(given, run, f"record_id {kind}, host string, collection string, label string, suffix string, segs array<struct<start int, end int, logs array<float>>>")
 
 
 def _best(logs: Column) -> Column:

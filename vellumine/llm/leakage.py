@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.llm.words import Hasher, normal_words
 from vellumine.session import cut_lineage
 
@@ -35,13 +36,9 @@ def postings(documents: DataFrame, id_column: str, text_column: str, keep_order:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            words, counts = [], []
-            for text in batch.column(1).to_pylist():
-                found = normal_words(text)
-                words += found
-                counts.append(len(found))
-            terms = hasher(words)
-            sizes = np.array(counts, dtype=np.int64)
+            found = [hasher(normal_words(text)) for text in batch.column(1).to_pylist()]
+            terms = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             order = np.arange(len(terms)) if keep_order else np.argsort(terms, kind="stable")
@@ -49,7 +46,7 @@ def postings(documents: DataFrame, id_column: str, text_column: str, keep_order:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "pos"])
 
     given = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t")).filter("t is not null")
-    return given.mapInArrow(run, f"doc_id {kind}, term long, pos int")
+    return by_batch(given, run, f"doc_id {kind}, term long, pos int")
 
 
 def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
 from vellumine.llm.components import components
 from vellumine.llm.sketches import bands, sketch
 from vellumine.llm.words import RUN, Hasher, sequence_hashes
@@ -66,7 +67,7 @@ def sketched(records: DataFrame, id_column: str, title_column: str | None, text_
                     names=["id", "key", "n", "bands"],
                 )
 
-    return _texts(records, id_column, title_column, text_column).mapInArrow(run, f"id {kind}, key binary, n int, bands array<long>")
+    return by_batch(_texts(records, id_column, title_column, text_column), run, f"id {kind}, key binary, n int, bands array<long>")
 
 
 def _sequences(records: DataFrame, id_column: str, title_column: str | None, text_column: str, words: int) -> DataFrame:
@@ -82,7 +83,7 @@ def _sequences(records: DataFrame, id_column: str, title_column: str | None, tex
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), lists], names=["id", "seqs"])
 
-    return _texts(records, id_column, title_column, text_column).mapInArrow(run, f"id {kind}, seqs array<long>")
+    return by_batch(_texts(records, id_column, title_column, text_column), run, f"id {kind}, seqs array<long>")
 
 
 def near_duplicates(

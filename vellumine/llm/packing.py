@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.batches import by_batch
+
 CAPACITY = 2048
 #: Sizes of at most capacity / SMALL form the last class.
 SMALL = 16
@@ -53,7 +55,7 @@ def token_counts(documents: DataFrame, id_column: str, text_column: str, ranks_p
             sizes = [0 if not t else len(encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t")).mapInArrow(run, f"doc_id {kind}, tokens long")
+    return by_batch(documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t")), run, f"doc_id {kind}, tokens long")
 
 
 def pack_block(sizes: np.ndarray, capacity: int, small: int = SMALL) -> tuple[np.ndarray, int]:
