@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.errors import InvalidRequest, ServiceUnavailable
-from vellumine.functions.batches import by_batch
+from vellumine.functions.batches import by_batch, ship_package
 from vellumine.operators.paging import FUSED_LEG, clamp
 from vellumine.operators.records import filtered
 
@@ -228,6 +228,7 @@ def hybrid_search(records: DataFrame, embeddings: DataFrame, q: str, vector: Seq
 def highlighted(page: DataFrame, q: str, fragments: int = 2, least: int = 8, most: int = 30) -> DataFrame:
     """``page`` (after its limit) with ``highlight``: up to ``fragments`` excerpts of the title and
     text, of at most ``most`` words, with the query's words marked."""
+    ship_package(page.sparkSession)
     wanted = set(parse_query(q).words())
 
     @F.pandas_udf("string")
