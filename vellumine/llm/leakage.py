@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.functions.batches import by_batch
+from vellumine.functions.batches import by_batch, ship_package
 from vellumine.llm.words import Hasher, normal_words
 from vellumine.session import cut_lineage
 
@@ -103,6 +103,7 @@ def leaked_phrases(documents: DataFrame, items: DataFrame, index: DataFrame | No
 
 def _verified(documents: DataFrame, items: DataFrame, found: DataFrame, words: int) -> DataFrame:
     """The exact check: the longest run of words shared by the texts of each candidate pair."""
+    ship_package(documents.sparkSession)
 
     @F.pandas_udf("int")
     def longest(a, b):  # noqa: ANN001, ANN202

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.functions.batches import by_batch
+from vellumine.functions.batches import by_batch, ship_package
 
 CAPACITY = 2048
 #: Sizes of at most capacity / SMALL form the last class.
@@ -117,6 +117,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, small: int = SMALL, block:
     assignment is always the same.
     """
     kind = sizes.schema["doc_id"].dataType.simpleString()
+    ship_package(sizes.sparkSession)
     n = max(1, -(-sizes.count() // block))
 
     def run(table: pa.Table) -> pa.Table:
