@@ -116,6 +116,12 @@ QUERIES = {f.__name__: f for f in _RUNS}
 
 _ITEMS = "(SELECT 'records' AS item_table, id AS item_id, extracted_text AS t FROM records UNION SELECT 'record_embeddings', id, chunk_text FROM record_embeddings)"
 _STRIPPED = r"regexp_replace(t, '^[\s\pZ\x1c-\x1f\x85]+|[\s\pZ\x1c-\x1f\x85]+$', '', 'g')"
+_SEQUENCES = r"""WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(CASE WHEN extracted_title <> '' THEN extracted_title || chr(10) ELSE '' END || extracted_text), '[\pL\pN]+') AS w FROM records WHERE extracted_text <> ''),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+"""
 ORACLE = {
     "p2_found": f"SELECT item_table, item_id FROM {_ITEMS} WHERE length({_STRIPPED}) > {LIMIT}",
+    "p6_found": _SEQUENCES + "SELECT x AS record_id_a, y AS record_id_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 10 * k >= 7 * (a.n + b.n - k)",
 }
