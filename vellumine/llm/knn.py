@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.batches import by_batch
 from vellumine.operators.joins import split_join
-from vellumine.session import checkpoint_root, cut_lineage
+from vellumine.session import as_table, cut_lineage
 
 #: Pivots: PIVOT_FACTOR * sqrt(vectors), within these bounds; the upper one bounds what is broadcast.
 PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 4096
@@ -200,7 +200,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
                 )
 
     index = by_batch(vectors, represent, "id long, key binary, vector binary, ranks binary, files array<int>")
-    index = _written(index)
+    index = as_table(index, "permutation-index")
     posts = index.select("id", "key", "vector", "ranks", F.explode("files").alias("file"))
     # at most one row per pivot: the lengths of the files
     lengths = index.select(F.explode("files").alias("file")).groupBy("file").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
@@ -230,15 +230,6 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
     return _spread(vectors, found, width, k)
 
 
-def _written(index: DataFrame) -> DataFrame:
-    """``index`` as a table in the shared checkpoint folder: read back by column, unlike a checkpoint."""
-    import uuid
-
-    path = f"{checkpoint_root(index.sparkSession).rstrip('/')}/permutation-index-{uuid.uuid4().hex}"
-    index.write.option("compression", "uncompressed").parquet(path)
-    return index.sparkSession.read.parquet(path)
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows of equal (file, a, b), which are sorted so."""
     now, rows = None, []

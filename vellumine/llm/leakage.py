@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.batches import by_batch, ship_package
 from vellumine.llm.words import Hasher, normal_words
-from vellumine.session import cut_lineage
+from vellumine.session import as_table, cut_lineage
 
 WORDS = 12
 PROBES = 4
+#: Terms of test items that are broadcast at most.
+MOST_BROADCAST = 1 << 20
 
 
 def postings(documents: DataFrame, id_column: str, text_column: str, keep_order: bool = False) -> DataFrame:
@@ -51,7 +53,15 @@ def postings(documents: DataFrame, id_column: str, text_column: str, keep_order:
 
 def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The positional index of ``documents``, written once to the shared checkpoint folder."""
-    return cut_lineage(postings(documents, id_column, text_column))
+    return as_table(postings(documents, id_column, text_column), "positional-index")
+
+
+def _listed(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms``, which are counted: up to MOST_BROADCAST of them (16 MB) go to the
+    index, beyond that the index is shuffled by term."""
+    terms = terms.select("term").distinct()
+    small = terms.count() <= MOST_BROADCAST
+    return index.join(F.broadcast(terms) if small else terms, "term", "left_semi")
 
 
 def _probes(items: DataFrame, frequency: DataFrame, words: int, probes: int) -> DataFrame:
@@ -72,11 +82,10 @@ def candidates(index: DataFrame, items: DataFrame, words: int = WORDS, probes: i
 
     ``items`` has ``item_id, term, ipos``.
     """
-    vocabulary = items.select("term").distinct()
-    frequency = index.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    frequency = _listed(index, items).groupBy("term").agg(F.count("*").alias("n"))
     wanted = cut_lineage(_probes(items, frequency, words, probes))
     anchors = wanted.select("item_id", "ipos", "term").distinct()
-    hits = index.join(anchors.select("term").distinct(), "term", "left_semi").join(anchors, "term").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
+    hits = _listed(index, anchors).join(anchors, "term").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
     # the offset-adjusted lists meet: by shift first, so that a lone hit never fans out to windows
     together = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("at")).filter(F.size("at") >= probes)
     needs = wanted.groupBy("item_id", "window").agg(F.collect_set("ipos").alias("needs")).groupBy("item_id").agg(F.collect_list("needs").alias("windows"))
@@ -150,11 +159,11 @@ def near_passages(index: DataFrame, items: DataFrame, span: int = 8, share: floa
     falls into one bin.  ``items`` has ``item_id, text``.
     """
     asked = cut_lineage(postings(items, "item_id", "text", keep_order=True).select(F.col("doc_id").alias("item_id"), "term", F.col("pos").alias("ipos")).distinct())
-    frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    frequency = _listed(index, asked).groupBy("term").agg(F.count("*").alias("n"))
     ranked = asked.join(frequency, "term", "left").withColumn("rank", F.percent_rank().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
     rare = cut_lineage(ranked.filter("rank <= 0.5").select("item_id", "term", "ipos"))
     terms = rare.groupBy("item_id").agg(F.count_distinct("term").alias("terms"))
-    hits = index.join(rare.select("term").distinct(), "term", "left_semi").join(rare, "term").select("doc_id", "item_id", "term", F.floor((F.col("pos") - F.col("ipos")) / span).alias("b"))
+    hits = _listed(index, rare).join(rare, "term").select("doc_id", "item_id", "term", F.floor((F.col("pos") - F.col("ipos")) / span).alias("b"))
     hits = hits.withColumn("b", F.explode(F.array(F.col("b"), F.col("b") + 1)))
     near = hits.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("term").alias("m")).groupBy("doc_id", "item_id").agg(F.max("m").alias("matched"))
     return near.join(terms, "item_id").filter(F.col("matched") >= F.greatest(F.lit(4), F.ceil(F.col("terms") * share))).select("doc_id", "item_id", "matched", "terms")
