@@ -68,3 +68,11 @@ def test_proximity_finds_a_passage_with_words_put_in(spark):
     docs = spark.createDataFrame([(1, spaced), (2, "quite another text " * 20), (3, "rare1 " * 50)], "doc_id long, text string")
     found = near_passages(build_index(docs), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(x.doc_id, x.item_id) for x in found] == [(1, 7)]
+
+
+def test_the_format_characters_are_unicodes():
+    import unicodedata
+
+    from vellumine.llm.words import _FORMAT
+
+    assert all((unicodedata.category(chr(i)) == "Cf") == bool(_FORMAT.fullmatch(chr(i))) for i in range(0x110000))
