@@ -72,3 +72,15 @@ def test_operators_on_odd_rows(spark):
     chunks = D.extract_chunks(texts, 1000, 100).collect()
     assert {x.record_id for x in chunks} == {1, 4} and all(len(x.chunk_text) <= 1000 for x in chunks)
     assert D.extract_links(df.limit(0)).count() == 0
+
+
+def test_markup_is_stripped_from_every_document(spark, tmp_path):
+    from vellumine.plans.archive import QUERIES
+
+    texts = ["plain\n\ntext", "a < b & c", "<b>x</b><br>y &amp; z", "&amp;lt;i&gt; &eacute; &#39; &a_b; &NBSP;.", "<> stays", "p<SCRIPT a='1'>no\nno</script>q", "<style>a<script></style>b</script>c<style/>", ""]
+    rows = [*enumerate(texts), (90, None), (0, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.plain) for x in QUERIES["strip_html_text"](spark, str(tmp_path)).collect() if x.doc_id < 90)
+    assert got == sorted((i, D.plain_html("<p>" + x.replace("\n", "<br/>") + "</p>")) for i, x in rows if x is not None)
+    assert dict(got)[3] == "<i> ." and dict(got)[1] == "a"  # all from "<" to ">" is a tag
+    assert [x.plain for x in QUERIES["strip_html_text"](spark, str(tmp_path)).filter("doc_id = 90").collect()] == [None]

@@ -40,12 +40,12 @@ def matches_any_glob(column: Column, globs: list[str]) -> Column:
 def strip_html(html: Column) -> Column:
     """Text of HTML: script and style blocks go, tags become spaces, the four commonest entities
     their characters and others spaces, white space collapses."""
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", " ")
-    text = F.regexp_replace(text, r"(?is)<style\b.*?</style\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"&#?[a-zA-Z0-9]+;", " ")
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, r"<[^>]+>", " ")
+    # in this order: "&amp;lt;" gives "<"
+    for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = F.regexp_replace(text, f"(?i){entity}", char)
+    text = F.regexp_replace(text, r"&#?\w+;", " ")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 

@@ -246,7 +246,9 @@ def chunk_text(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace('<p>' || replace(text, chr(10), '<br/>') || '</p>', '&nbsp;', ' '), '&lt;', '&lt;'), '&gt;', '&gt;'), '&amp;', '&amp;'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents WHERE text NOT LIKE '%&%' AND text NOT LIKE '%<%'")
 def strip_html_text(t: Tables) -> DataFrame:
-    docs = table(t.spark, t.base, "documents").filter("text not like '%&%' and text not like '%<%'")
+    """Every document's text without markup, null for a null text; the SQL has only the texts that
+    hold neither "&" nor "<"."""
+    docs = table(t.spark, t.base, "documents")
     html = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
     return docs.select("doc_id", strip_html(html).alias("plain"))
 
