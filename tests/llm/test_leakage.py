@@ -70,6 +70,15 @@ def test_proximity_finds_a_passage_with_words_put_in(spark):
     assert [(x.doc_id, x.item_id) for x in found] == [(1, 7)]
 
 
+def test_proximity_counts_only_terms_that_the_corpus_has(spark):
+    known = [f"rare{i}" for i in range(20)]
+    mixed = " ".join(f"{w} absent{i}" for i, w in enumerate(known))
+    docs = spark.createDataFrame([(1, " ".join(f"{w} other" for w in known)), (2, "one two three four five"), (3, "quite another text")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, mixed), (8, "one two three"), (9, "absent words"), (10, "three absent"), (11, None), (12, "")], "item_id long, text string")
+    found = near_passages(build_index(docs), items).collect()
+    assert sorted((x.doc_id, x.item_id, x.matched, x.terms) for x in found) == [(1, 7, 10, 10), (2, 8, 2, 2), (2, 10, 1, 1)]
+
+
 def test_the_format_characters_are_unicodes():
     import unicodedata
 

@@ -152,18 +152,19 @@ def longest_shared_run(a: np.ndarray, b: np.ndarray) -> int:
 
 def near_passages(index: DataFrame, items: DataFrame, span: int = 8, share: float = 0.6) -> DataFrame:
     """Proximity matches: ``doc_id, item_id, matched, terms`` where at least ``share`` of an item's
-    distinct rare terms (those of all its windows) lie in the document, each within ``span`` words
-    of its place in the item relative to the others.
+    distinct rare terms (those of all its windows), and 4 of them or all, lie in the document, each
+    within ``span`` words of its place in the item relative to the others.  Rare is the rarer half of
+    the item's terms that the corpus has; terms it lacks count nowhere.
 
     Shifts are gathered in overlapping bins of ``2 * span``, so agreement within ``span`` always
     falls into one bin.  ``items`` has ``item_id, text``.
     """
     asked = cut_lineage(postings(items, "item_id", "text", keep_order=True).select(F.col("doc_id").alias("item_id"), "term", F.col("pos").alias("ipos")).distinct())
     frequency = _listed(index, asked).groupBy("term").agg(F.count("*").alias("n"))
-    ranked = asked.join(frequency, "term", "left").withColumn("rank", F.percent_rank().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
+    ranked = asked.join(frequency, "term").withColumn("rank", F.percent_rank().over(Window.partitionBy("item_id").orderBy("n", "term")))
     rare = cut_lineage(ranked.filter("rank <= 0.5").select("item_id", "term", "ipos"))
     terms = rare.groupBy("item_id").agg(F.count_distinct("term").alias("terms"))
     hits = _listed(index, rare).join(rare, "term").select("doc_id", "item_id", "term", F.floor((F.col("pos") - F.col("ipos")) / span).alias("b"))
     hits = hits.withColumn("b", F.explode(F.array(F.col("b"), F.col("b") + 1)))
     near = hits.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("term").alias("m")).groupBy("doc_id", "item_id").agg(F.max("m").alias("matched"))
-    return near.join(terms, "item_id").filter(F.col("matched") >= F.greatest(F.lit(4), F.ceil(F.col("terms") * share))).select("doc_id", "item_id", "matched", "terms")
+    return near.join(terms, "item_id").filter(F.col("matched") >= F.greatest(F.least(F.lit(4), "terms"), F.ceil(F.col("terms") * share))).select("doc_id", "item_id", "matched", "terms")
