@@ -1,6 +1,6 @@
 import numpy as np
 
-from vellumine.llm.knn import footrule, nearest, pack_vector, unpack_vector
+from vellumine.llm.knn import _best, footrule, nearest, pack_vector, unit, unpack_vector
 
 SCHEMA = "id long, embedding array<float>, vector string, rank int"
 
@@ -71,3 +71,21 @@ def test_unusable_equal_and_repeated_vectors(spark):
     want = brute(ids.tolist(), v)
     assert {i: [n for _, n in sorted(g)] for i, g in got.items()} == want
     assert nearest(frame(spark, ids, v).limit(0), width=8).count() == 0
+
+
+def test_all_ties_reach_the_exact_rule(spark):
+    r = np.random.default_rng(8)
+    v = np.concatenate([clusters(60, 24, 9), r.normal(size=(1, 24)) * r.uniform(0.5, 9, size=(40, 1))]).astype(np.float32)  # forty scaled copies
+    ids = r.permutation(1000)[: len(v)]
+    want = brute(ids.tolist(), v)
+    held = unit(v).astype(np.float32)
+    for rerank in (160, 60):
+        got = {}
+        for q, c, _ in _best(ids, held, np.tile(np.arange(4, dtype=np.int16), (len(v), 1)), None, 5, rerank):
+            for x, y in zip(q.tolist(), c.tolist()):
+                got.setdefault(x, []).append(y)
+        assert got == want
+    one = {}  # pivots of every direction: all share a file
+    for x in nearest(frame(spark, ids, v), width=24, files=100, prefix=100).collect():
+        one.setdefault(x.id, []).append((x.rank, x.neighbour))
+    assert {i: [n for _, n in sorted(g)] for i, g in one.items()} == want

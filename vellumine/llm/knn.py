@@ -140,12 +140,15 @@ def _best(ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, sides: np.nda
         sims[np.arange(len(rows)), rows] = -2
         if sides is not None:
             sims[sides[rows][:, None] == sides[None, :]] = -2
-        take = min(k + 3, n)
-        top = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), sims.shape)
-        q, c = np.repeat(rows, top.shape[1]), top.ravel()
-        s = sims[q - at, c]
-        q, c = q[s > -1.5], c[s > -1.5]
-        exact = np.round(np.einsum("ij,ij->i", vectors[q].astype(np.float64), vectors[c].astype(np.float64)), 7)
+        # all that may tie with the k-th go on: its similarity and theirs are wrong by width * 2^-24 at most
+        # (unit vectors, any order of addition), and rounding makes 1e-7 equal
+        last = np.partition(sims, n - k, axis=1)[:, n - k : n - k + 1] if k < n else np.float32(-2)
+        q, c = np.nonzero((sims > -1.5) & (sims >= last - np.float32(2.1 * vectors.shape[1] * 2.0**-24 + 2e-7)))
+        q = q + at
+        exact = np.empty(len(q))
+        for s in range(0, len(q), 1 << 12):
+            x, y = q[s : s + (1 << 12)], c[s : s + (1 << 12)]
+            exact[s : s + (1 << 12)] = np.round(np.einsum("ij,ij->i", vectors[x].astype(np.float64), vectors[y].astype(np.float64)), 7)
         order = np.lexsort((ids[c], -exact, q))
         q, c, exact = q[order], c[order], exact[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
