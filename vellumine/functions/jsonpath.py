@@ -29,10 +29,13 @@ def _quoted(key: str) -> str:
 
 
 def extract_text(body: Column, path: str) -> Column:
-    """The value at a dotted path as text; a number as a segment indexes a list (``a.0``).  Null
-    for an absent path, a JSON null and an unreadable body."""
-    steps = [f"[{s}]" if s.isdigit() else f"['{_quoted(s)}']" for s in segments(path)]
-    return F.try_variant_get(F.try_parse_json(body), "$" + "".join(steps), "string")
+    """The value at a dotted path as text; a number as a segment indexes a list or names a key
+    (``a.0``).  Null for an absent path, a JSON null and an unreadable body."""
+    value = F.try_parse_json(body)
+    for s in segments(path):
+        key = F.try_variant_get(value, f"$['{_quoted(s)}']", "variant")
+        value = F.coalesce(F.try_variant_get(value, f"$[{s}]", "variant"), key) if s.isdigit() else key
+    return F.try_variant_get(value, "$", "string")
 
 
 def contains(body: Column, path: str, needle: Any) -> Column:

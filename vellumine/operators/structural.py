@@ -264,3 +264,61 @@ def _emit(ix: Index, origin: list, fields: bool, later: list, later_queue: list)
                 inner[home].append((own[start:], None if value == "null" and k == _SCALAR else value))
     for number, own, outer, where, i in out:
         yield number, own, outer, where, inner[i] if fields else None
+
+
+Leaf = tuple[str, list[str], bool, bool, str]
+
+
+def strings(texts: Sequence[bytes]) -> list[list[Leaf] | None]:
+    """The strings of each text in order as (path, keys, whether the last key is the string's own,
+    whether it lies in a blob, value); None for texts that aren't JSON.
+
+    Unlike :func:`nodes`, a string that holds JSON stays a string.
+    """
+    out: list[list[Leaf] | None] = []
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK_BYTES):
+            size += len(texts[upto])
+            upto += 1
+        out += _leaves(build(texts[at:upto]))
+        at = upto
+    return out
+
+
+def _leaves(ix: Index) -> list[list[Leaf] | None]:
+    kind, data, parent = ix.kind, ix.data, ix.parent
+    out: list[list[Leaf] | None] = [[] if ok else None for ok in ix.valid.tolist()]
+    live = ix.valid[ix.text]
+    value = live & (kind == _STR) & ~ix.is_key
+    pick = np.flatnonzero(value | live & ((kind == _OBJ) | (kind == _ARR)))
+    # of each container: its path and keys; objects that a member names a blob
+    path: dict[int, tuple[str, list[str]]] = {}
+    under = np.flatnonzero(value & (parent >= 0))
+    under = under[kind[parent[under]] == _OBJ]
+    blobs = {int(parent[i]) for i in under.tolist() if data[ix.start[i] : ix.end[i]] == b'"blob"' and data[ix.start[i - 2] : ix.end[i - 2]] == b'"$type"'}
+    held: set[int] = set()
+    for i, t, k, s, e, p in zip(pick.tolist(), ix.text[pick].tolist(), kind[pick].tolist(), ix.start[pick].tolist(), ix.end[pick].tolist(), parent[pick].tolist()):
+        own = False
+        if p < 0:
+            here: tuple[str, list[str]] = ("", [])
+        elif kind[p] == _OBJ:
+            key, own = _sound(data[ix.start[i - 2] : ix.end[i - 2]]), True
+            above, keys = path[p]
+            here = (f"{above}.{key}" if above else key, [*keys, key])
+        else:
+            here = (f"{path[p][0]}[]", path[p][1])
+        if k == _STR:
+            out[t].append((*here, own, p in held, _sound(data[s:e])))
+        else:
+            path[i] = here
+            if p in held or i in blobs:
+                held.add(i)
+    return out
+
+
+def _sound(raw: bytes) -> str:
+    """The value of a string token; halves of surrogate pairs become replacement characters."""
+    text = _string(raw)
+    return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if b"\\u" in raw else text

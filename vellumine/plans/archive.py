@@ -194,7 +194,7 @@ def progress(t: Tables) -> DataFrame:
 
 _TREE = "SELECT r.id AS record_id, r.collection, r.deleted_at, t.* FROM r, json_tree(r.record) AS t"
 _PATH = "regexp_replace(regexp_replace(substr({0}, 3), '\\[[0-9]+\\]', '[]', 'g'), '\"', '', 'g')"
-_TYPES = f", types AS (SELECT DISTINCT record_id, collection, deleted_at, {_PATH.format('fullkey')} AS path, json_extract_string(value, '$') AS nsid FROM ({_TREE}) WHERE key = '$type' AND type = 'VARCHAR'),\nt AS (SELECT * FROM types WHERE regexp_full_match(nsid, '[a-zA-Z][a-zA-Z0-9-]*(\\.[a-zA-Z0-9-]+){{2,}}(#[a-zA-Z0-9]+)?'))\n"
+_TYPES = f", types AS (SELECT DISTINCT record_id, collection, deleted_at, {_PATH.format('fullkey')} AS path, json_extract_string(value, '$') AS nsid FROM ({_TREE}) WHERE key = '$type' AND type = 'VARCHAR'),\nt AS (SELECT * FROM types WHERE regexp_full_match(nsid, '[a-z][a-z0-9-]*(\\.[a-z0-9-]+)+(\\.[a-zA-Z][a-zA-Z0-9]*)'))\n"
 
 
 @query(_TYPES + "SELECT record_id, path, nsid FROM t")
@@ -233,24 +233,83 @@ def lang_norm(t: Tables) -> DataFrame:
 _EXTRACTION = {DOCUMENT: D.Extraction(["title"], ["description"], ["content"]), PUBLICATION: D.Extraction(["name"], ["description"], [])}
 
 
-@query()
+_BLANK = "^[\\s\\pZ\\x{feff}]+|[\\s\\pZ\\x{feff}]+$"
+
+
+def _trim_sql(text: str) -> str:
+    return f"regexp_replace({text}, '{_BLANK}', '', 'g')"
+
+
+def _strip_sql(html: str) -> str:
+    """Markup rules in SQL; RE2 has no back-references, so scripts and styles go one after the other."""
+    for pattern, by in (("(?is)<script.*?</script>|<style.*?</style>", " "), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("&#?\\w+;", " "), ("[\\s\\pZ\\x{feff}]+", " ")):
+        html = f"regexp_replace({html}, '{pattern}', '{by}', 'g')"
+    return _trim_sql(html)
+
+
+_HIDDEN = "|".join(sorted(D.NON_PROSE_KEYS))
+_PROSE = ", ".join(f"'{k}'" for k in sorted(D.PROSE_KEYS))
+def _flat(name: str) -> str:
+    return f"CASE WHEN json_type(record, '$.{name}') = 'VARCHAR' THEN {_trim_sql(f"json_extract_string(record, '$.{name}')")} END"
+
+
+def _joined(a: str, b: str) -> str:
+    return f"nullif(concat_ws(chr(10) || chr(10), nullif({a}, ''), nullif({b}, '')), '')"
+
+
+@query(
+    f""", rich AS (SELECT record_id, string_agg(CASE WHEN key = 'html' THEN {_strip_sql('s')} ELSE {_trim_sql('s')} END, chr(10) || chr(10) ORDER BY n) AS prose FROM
+  (SELECT r.id AS record_id, t.key, t.id AS n, t.fullkey, json_extract_string(t.value, '$') AS s FROM r, json_tree(r.record) AS t
+   WHERE r.collection = '{DOCUMENT}' AND t.type = 'VARCHAR' AND t.key IN ({_PROSE}) AND regexp_matches(t.fullkey, '^\\$\\.content[.\\[]')
+     AND NOT regexp_matches(t.fullkey, '\\.("\\$type"|{_HIDDEN})([.\\[]|$)')) WHERE {_trim_sql('s')} <> '' GROUP BY 1)
+SELECT r.id AS record_id, nullif(CASE WHEN collection = '{DOCUMENT}' THEN {_flat('title')} WHEN collection = '{PUBLICATION}' THEN {_flat('name')} END, '') AS title,
+  CASE WHEN collection = '{DOCUMENT}' THEN {_joined(_flat('description'), _trim_sql('prose'))} WHEN collection = '{PUBLICATION}' THEN nullif({_flat('description')}, '') END AS text
+FROM r LEFT JOIN rich ON rich.record_id = r.id WHERE r.record IS NOT NULL"""
+)
 def extract_documents(t: Tables) -> DataFrame:
     """Title and text of every record by its collection's fields."""
     return D.extract_documents(t.records, _EXTRACTION)
 
 
-@query()
+def _last(pattern: str) -> str:
+    """The last place of ``pattern`` in the window ``w``, or -1."""
+    return f"CASE WHEN regexp_matches(w, '(?s){pattern}') THEN length(regexp_extract(w, '(?s)^(.*){pattern}', 1)) ELSE -1 END"
+
+
+_STOPS = [(_last(r"\n\n"), 0), (_last(r"[.][ \n]"), 1), (_last(" "), 0)]
+_CUT = "CASE " + " ".join(f"WHEN {place} > 900 THEN {place} + {more}" for place, more in _STOPS) + " ELSE length(w) END"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT DISTINCT id, {_trim_sql('extracted_text')} AS x FROM records),
+c AS (SELECT id, x, 0 AS k, 0 AS o, substr(x, 1, 1800) AS w FROM t WHERE x <> ''
+  UNION ALL SELECT id, x, k + 1, o + greatest(s - 200, 1), substr(x, o + greatest(s - 200, 1) + 1, 1800) FROM (SELECT c.*, {_CUT} AS s FROM c WHERE o + 1800 < length(x)))
+SELECT id AS record_id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS chunk_index, p AS chunk_text
+FROM (SELECT id, k, {_trim_sql(f'substr(w, 1, CASE WHEN o + 1800 < length(x) THEN {_CUT} ELSE 1800 END)')} AS p FROM c) WHERE p <> ''"""
+)
 def chunk_text(t: Tables) -> DataFrame:
     return D.extract_chunks(t.records.select(F.col("id").alias("record_id"), F.col("extracted_text").alias("text")))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace('<p>' || replace(text, chr(10), '<br/>') || '</p>', '&nbsp;', ' '), '&lt;', '&lt;'), '&gt;', '&gt;'), '&amp;', '&amp;'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents WHERE text NOT LIKE '%&%' AND text NOT LIKE '%<%'")
+#: Markup put into plain texts: (what, by what).
+_MADE = [("&", "&AMP;"), ("<", "&lt;"), ("\n", "<br/>"), (", ", ",&nbsp;"), (". ", ".&amp;lt;i&amp;gt; &eacute;<script>x < y</script> ")]
+
+
+def _made_sql(text: str) -> str:
+    for what, by in _MADE:
+        text = f"replace({text}, {'chr(10)' if what == chr(10) else repr(what)}, '{by}')"
+    return f"'<p class=\"x\">' || {text} || '</p>'"
+
+
+@query("SELECT doc_id, " + _strip_sql("html") + " AS plain FROM (SELECT doc_id, " + _made_sql("text") + " AS html FROM documents)")
 def strip_html_text(t: Tables) -> DataFrame:
-    """Every document's text without markup, null for a null text; the SQL has only the texts that
-    hold neither "&" nor "<"."""
+    """Every document's text, first made into markup with entities, tags and scripts, stripped again;
+    null for a null text."""
+    html = F.col("text")
+    for what, by in _MADE:
+        html = F.replace(html, F.lit(what), F.lit(by))
     docs = table(t.spark, t.base, "documents")
-    html = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))
-    return docs.select("doc_id", strip_html(html).alias("plain"))
+    return docs.select("doc_id", strip_html(F.concat(F.lit('<p class="x">'), html, F.lit("</p>"))).alias("plain"))
 
 
 # --- records plane
@@ -280,7 +339,6 @@ _WHERES = {
     "where_in_column": ({"embedStatus": {"in": ["failed", "skipped"]}, "cold": {"eq": False}}, "embed_status IN ('failed', 'skipped') AND coalesce(CAST(cold AS VARCHAR) = 'false', false)"),
     "where_nin_column": ({"embedStatus": {"nin": ["done", "pending"]}}, "coalesce(embed_status NOT IN ('done', 'pending'), true)"),
     "where_contains_column": ({"uri": {"contains": "WEB:"}}, "uri ILIKE '%web:%'"),
-    "where_eq_path": ({"title": {"eq": "The archive / 17"}}, "coalesce(json_contains(record, '{\"title\":\"The archive / 17\"}'), false)"),
     "where_neq_path": ({"content.$type": {"neq": "blog.quire.content"}}, "NOT coalesce(json_contains(record, '{\"content\":{\"$type\":\"blog.quire.content\"}}'), false)"),
     "where_in_path": ({"langs": {"in": [["fr"], ["de"]]}}, "coalesce(json_type(record, '$.langs') = 'ARRAY' AND (json_contains(record, '{\"langs\":[\"fr\"]}') OR json_contains(record, '{\"langs\":[\"de\"]}')), false)"),
     "where_nin_path": ({"prefs.notify": {"nin": [True, None]}}, "NOT coalesce(json_extract(record, '$.prefs.notify')::VARCHAR IN ('true', 'null'), false)"),
@@ -294,6 +352,16 @@ for _name, (_where, _sql) in _WHERES.items():
         return _ids(RC.filtered(t.records, where=where))
 
 
+_TITLED = "json_type(record, '$.title') = 'VARCHAR'"
+
+
+@query(f"SELECT {_PUBLIC} FROM r WHERE deleted_at IS NULL AND {_TITLED} AND json_extract_string(record, '$.title') = (SELECT json_extract_string(record, '$.title') FROM r WHERE {_TITLED} AND json_extract_string(record, '$.title') <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+def where_eq_path(t: Tables) -> DataFrame:
+    titles = D.extract_text(F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json("record"), "$.title", "variant")) == "STRING", F.col("record")), "title")
+    title = t.commonest(t.records.select(titles.alias("title")).filter("title <> ''"), "title")
+    return _ids(RC.filtered(t.records, where={"title": {"eq": title}}))
+
+
 @query(f"SELECT {_PUBLIC} FROM r WHERE deleted_at IS NULL AND collection = 'site.standard.document' ORDER BY cid ASC NULLS LAST, rkey DESC NULLS FIRST, id DESC LIMIT 100 OFFSET 50")
 def sort_paging_offset(t: Tables) -> DataFrame:
     return _ids(RC.get_records(t.records, DOCUMENT, sort_by=[{"field": "cid"}, {"field": "rkey", "direction": "desc"}], limit=100, cursor="50"))
