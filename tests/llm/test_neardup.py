@@ -2,9 +2,10 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from vellumine.llm.components import components
-from vellumine.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from vellumine.llm.neardup import duplicate_pairs, near_duplicate_groups, near_duplicates, shared_counts
 from vellumine.llm.sketches import sketch
 from vellumine.llm.words import RUN
 
@@ -34,7 +35,8 @@ def texts(r):
     return [*rows, (n, None, None), (n + 1, "t", ""), (n + 2, None, "one two"), rows[0], (None, None, "a b c d e f")]
 
 
-def test_pairs_and_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("hot,tile", [(256, 1024), (1, 3), (2, 1000)])
+def test_pairs_and_groups_equal_brute_force(spark, hot, tile):
     rows = texts(random.Random(9))
     sets = {}
     for i, title, text in rows:
@@ -46,13 +48,16 @@ def test_pairs_and_groups_equal_brute_force(spark):
     want = {(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j])}
     df = spark.createDataFrame(rows, "id long, extracted_title string, extracted_text string")
     df = df.withColumn("key", df.id).withColumn("bands", df.id)
-    members, links = near_duplicates(df, words=3, threshold=Fraction(7, 10))
+    members, links = near_duplicates(df, words=3, threshold=Fraction(7, 10), hot=hot, tile=tile)
     got = [(x.id_a, x.id_b) for x in duplicate_pairs(members, links).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
-    groups = {x.id: x for x in duplicate_groups(members, links).collect()}
+    groups = {x.id: x for x in near_duplicate_groups(df, words=3, threshold=Fraction(7, 10), hot=hot, tile=tile).collect()}
     assert set(groups) == set(sets)
     for i, j in want:
         assert groups[i].group_id == groups[j].group_id
+    distinct = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {i: g.class_id for i, g in groups.items()} == distinct
+    assert {i: g.links for i, g in groups.items()} == {i: len({distinct[j] for p in want if i in p for j in p} - {distinct[i]}) for i in sets}
     leaders = {i: i for i in sets}
     for _ in sets:
         for i, j in want:
@@ -63,10 +68,28 @@ def test_pairs_and_groups_equal_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, extracted_title string, extracted_text string")
     members, links = near_duplicates(df)
-    assert duplicate_pairs(members, links).count() == 0 and duplicate_groups(members, links).count() == 0
+    assert duplicate_pairs(members, links).count() == 0 and near_duplicate_groups(df).count() == 0
 
 
 def test_components_of_chains_and_loops(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100), (201, 200), (202, 201), (None, 5)]
     got = {x.node: x.component for x in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 200, 201: 200, 202: 200}
+
+
+def test_shared_elements_are_counted():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 50))) for _ in range(40)] + [np.unique(r.integers(0, 10_000, 300)) for _ in range(5)]
+    got = shared_counts(sets)
+    want = np.array([[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (got == want).all() and shared_counts([]).shape == (0, 0)
+
+
+def test_a_template_of_many_records(spark):
+    """20,000 records that differ by one word: 2e8 links, counted and grouped without a row each."""
+    n = 20_000
+    head, tail = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.range(n).selectExpr("id", "cast(null as string) as extracted_title", f"concat('{head} ', 'w', id, ' {tail}') as extracted_text")
+    out = near_duplicate_groups(df, words=3, threshold=Fraction(7, 10))
+    got = out.groupBy("links", "group_id").count().collect()
+    assert [(x.links, x.group_id, x["count"]) for x in got] == [(n - 1, 0, n)]

@@ -13,7 +13,7 @@ from vellumine.llm.garble import garbled_texts
 from vellumine.llm.knn import nearest
 from vellumine.llm.langid import declared, identify, language_sets, mislabelled
 from vellumine.llm.leakage import build_index, leaked_phrases, near_passages
-from vellumine.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from vellumine.llm.neardup import duplicate_pairs, near_duplicate_groups, near_duplicates
 from vellumine.llm.packing import CAPACITY, pack, token_counts
 from vellumine.sources.tables import table
 
@@ -69,8 +69,8 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, base: str) -> DataFrame:
-    members, links = near_duplicates(table(spark, base, "records"), words=3, threshold=Fraction(7, 10))
-    return duplicate_groups(members, links).withColumnRenamed("id", "record_id")
+    """Every record's class, its number of links to other classes and its group."""
+    return near_duplicate_groups(table(spark, base, "records"), words=3, threshold=Fraction(7, 10)).withColumnRenamed("id", "record_id")
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -121,7 +121,13 @@ s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 """
+_GROUPS = _SEQUENCES.replace("WITH t", "WITH RECURSIVE t") + """, k AS (SELECT x, y, p.k = a.n AND p.k = b.n AS same FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 10 * p.k >= 7 * (a.n + b.n - p.k)),
+c AS (SELECT id, least(id, coalesce((SELECT min(x) FROM k WHERE y = id AND same), id)) AS class_id FROM n),
+e AS (SELECT DISTINCT a.class_id AS u, b.class_id AS v FROM (SELECT x, y FROM k UNION ALL SELECT y, x FROM k) JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE a.class_id <> b.class_id),
+g(u, root) AS (SELECT DISTINCT class_id, class_id FROM c UNION SELECT e.v, g.root FROM g JOIN e ON e.u = g.u)
+SELECT id AS record_id, class_id, (SELECT count(*) FROM e WHERE u = class_id) AS links, (SELECT min(root) FROM g WHERE g.u = class_id) AS group_id FROM c"""
 ORACLE = {
     "p2_found": f"SELECT item_table, item_id FROM {_ITEMS} WHERE length({_STRIPPED}) > {LIMIT}",
+    "p6_groups": _GROUPS,
     "p6_found": _SEQUENCES + "SELECT x AS record_id_a, y AS record_id_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 10 * k >= 7 * (a.n + b.n - k)",
 }

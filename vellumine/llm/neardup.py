@@ -2,21 +2,29 @@
 
 1. Every text becomes its set of hashed word sequences.  Records with equal sets form a class; only
    the class's least record goes on.
-2. Each class is sketched, and the sketch cut into bands; classes that share a band and whose sizes
-   allow the similarity are candidates.
+2. Each class is sketched, and the sketch cut into bands; classes that share a band, whose sizes
+   allow the similarity and whose sketches agree in enough bins are candidates.
 3. Candidates are checked on their whole sets with integers.
+
+A band that many classes share (records of one template that differ by a word) would make a pair of
+all of them.  The classes that such bands connect form a family instead: its members are cut into
+tiles, every two tiles meet once, and all their pairs are counted at once from the elements they
+share.  The sets travel once a tile, not once a pair, and where only groups are asked for no pair
+leaves its tile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellumine.functions.batches import by_batch
 from vellumine.llm.components import components
@@ -27,8 +35,15 @@ from vellumine.session import cut_lineage
 
 #: 48 bands of 4 bins: a pair at similarity 0.7 is missed with probability 2e-6, at 0.8 with 1e-11.
 BANDS, ROWS = 48, 4
+#: Bins in which sketches may agree less than the threshold tells, as a share: that a pair at the
+#: threshold does has a probability of at most exp(-2 * 192 * 0.2^2) = 2e-7.
+SLACK = 0.2
 #: Sets sketched at once (their bins take about 4 MB).
 _AT_ONCE = 2048
+#: Classes in a band from which on they are a family, members of a tile, and elements of a tile (32 MB).
+HOT, TILE, TILE_ELEMENTS = 256, 1024, 1 << 22
+#: Rows of a class that one task expands into pairs.
+_PAIR_ROWS = 1 << 12
 
 
 def _sets(batch: pa.RecordBatch, words: int, hasher: Hasher) -> Iterator[tuple[int, np.ndarray]]:
@@ -46,7 +61,8 @@ def _texts(records: DataFrame, id_column: str, title_column: str | None, text_co
 
 
 def sketched(records: DataFrame, id_column: str, title_column: str | None, text_column: str, words: int) -> DataFrame:
-    """``id, key, n, bands``: a 128-bit key of the record's set, its size and its band hashes."""
+    """``id, key, n, bands, marks``: a 128-bit key of the record's set, its size, its band hashes and a
+    byte of each bin of its sketch."""
     kind = records.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,18 +72,19 @@ def sketched(records: DataFrame, id_column: str, title_column: str | None, text_
             for at in range(0, len(found), _AT_ONCE):
                 part = found[at : at + _AT_ONCE]
                 sizes = np.array([len(s) for _, s in part], dtype=np.int64)
-                marks = bands(sketch(np.concatenate([s for _, s in part]), np.repeat(np.arange(len(part)), sizes), len(part), BANDS * ROWS), ROWS)
+                bins = sketch(np.concatenate([s for _, s in part]), np.repeat(np.arange(len(part)), sizes), len(part), BANDS * ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([i for i, _ in part])),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for _, s in part], pa.binary()),
                         pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(marks.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(bands(bins, ROWS).ravel())),
+                        pa.array([x.tobytes() for x in bins.astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "key", "n", "bands"],
+                    names=["id", "key", "n", "bands", "marks"],
                 )
 
-    return by_batch(_texts(records, id_column, title_column, text_column), run, f"id {kind}, key binary, n int, bands array<long>")
+    return by_batch(_texts(records, id_column, title_column, text_column), run, f"id {kind}, key binary, n int, bands array<long>, marks binary")
 
 
 def _sequences(records: DataFrame, id_column: str, title_column: str | None, text_column: str, words: int) -> DataFrame:
@@ -86,6 +103,182 @@ def _sequences(records: DataFrame, id_column: str, title_column: str | None, tex
     return by_batch(_texts(records, id_column, title_column, text_column), run, f"id {kind}, seqs array<long>")
 
 
+class _Stages(NamedTuple):
+    members: DataFrame  # id, class_id
+    pairs: DataFrame  # class_a, class_b, shared, size_a, size_b: checked pairs outside of families
+    cells: DataFrame | None  # family, a, b, tile, id, seqs: the tiles of families that meet
+
+
+def _stages(records: DataFrame, id_column: str, title_column: str | None, text_column: str, words: int, threshold: Fraction, hot: int, tile: int) -> _Stages:
+    given = id_column, title_column, text_column, words
+    marked = cut_lineage(sketched(records, *given))
+    named = marked.groupBy("key").agg(F.min("id").alias("class_id"))
+    # one row per class: the band hashes stay with the row of the least id
+    heads = marked.join(named.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    members = split_join(marked.select("id", "key").distinct(), named, ["key"]).select("id", "class_id")
+
+    # the bands that several classes share; the counts combine before their shuffle
+    posts = heads.select("id", "n", F.explode("bands").alias("band"))
+    shared = posts.groupBy("band").agg(F.count("*").alias("held")).filter("held > 1")
+    posts = cut_lineage(posts.join(shared, "band"))
+    families = _families(posts.filter(F.col("held") > hot))
+    if families is not None:
+        posts = posts.join(families.select("id", "family"), "id", "left")
+    else:
+        posts = posts.withColumn("family", F.lit(None).cast("long"))
+
+    least = int(threshold.numerator), int(threshold.denominator)
+    posts = posts.filter(F.col("held") <= hot)
+    a, b = posts.alias("a"), posts.alias("b")
+    sizes_allow = (F.col("a.n").cast("long") * least[1] >= F.col("b.n").cast("long") * least[0]) & (F.col("b.n").cast("long") * least[1] >= F.col("a.n").cast("long") * least[0])
+    apart = ~F.coalesce(F.col("a.family") == F.col("b.family"), F.lit(False))
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & sizes_allow & apart)
+    pairs = pairs.select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b")).distinct()
+    sketches = heads.select("id", "marks")
+    pairs = cut_lineage(_agreeing(pairs, sketches, int(BANDS * ROWS * (float(threshold) - SLACK))))
+
+    wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id"))
+    wanted = wanted if families is None else wanted.unionByName(families.select("id"))
+    source = records.join(wanted.distinct().withColumnRenamed("id", id_column), id_column, "left_semi")
+    sets = _sequences(source, *given).dropDuplicates(["id"])
+    sets = sets if families is None else cut_lineage(sets)
+    left, right = sets.select(F.col("id").alias("class_a"), F.col("seqs").alias("_a")), sets.select(F.col("id").alias("class_b"), F.col("seqs").alias("_b"))
+    both = pairs.join(left, "class_a").join(right, "class_b")
+    sized = both.select("class_a", "class_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared"), F.size("_a").cast("long").alias("size_a"), F.size("_b").cast("long").alias("size_b"))
+    checked = sized.filter(F.col("shared") * least[1] >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * least[0])
+    return _Stages(members, checked, None if families is None else _cells(families, sets, tile))
+
+
+def _families(posts: DataFrame) -> DataFrame | None:
+    """``id, family, n``: what hot bands connect, named by its least class; None if no band is hot."""
+    if posts.isEmpty():
+        return None
+    star = posts.groupBy("band").agg(F.min("id").alias("least"))
+    # every class is tied to the least of each of its bands
+    ties = split_join(posts.select("band", "id"), star, ["band"]).select("id", "least").distinct()
+    families = components(ties, "id", "least").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    return cut_lineage(families.join(posts.select("id", "n").distinct(), "id"))
+
+
+def _agreeing(pairs: DataFrame, sketches: DataFrame, bins: int) -> DataFrame:
+    """The pairs whose sketches agree in ``bins`` bins."""
+    kind = sketches.schema["id"].dataType.simpleString()
+    both = pairs.join(sketches.select(F.col("id").alias("class_a"), F.col("marks").alias("_a")), "class_a")
+    both = both.join(sketches.select(F.col("id").alias("class_b"), F.col("marks").alias("_b")), "class_b").select("class_a", "class_b", "_a", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= bins))
+
+    return by_batch(both, run, f"class_a {kind}, class_b {kind}")
+
+
+def _cells(families: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+    """``family, a, b, tile, id, seqs``: every member in each pair of tiles that its own is in."""
+    tiles = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_ELEMENTS)).cast("int").alias("tiles"))
+    placed = split_join(families.select("id", "family"), tiles, ["family"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    placed = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return placed.select("family", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "seqs")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of how many elements each two of the sets share.
+
+    Elements of many sets are counted by matrix products, those of a few by their pairs.
+    """
+    n = len(sets)
+    out = np.zeros((n, n), dtype=np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *sets])
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, dtype=np.int64)
+    held = np.diff(np.append(first, len(flat)))
+    for size in range(2, _FEW + 1):
+        runs = first[held == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, (1 << 20) // len(i))
+        for at in range(0, len(runs), step):
+            who = owner[runs[at : at + step, None] + np.arange(size)]
+            np.add.at(out, (who[:, i].ravel(), who[:, j].ravel()), 1)
+    runs, sizes = first[held > _FEW], held[held > _FEW]
+    for at in range(0, len(runs), 2048):
+        part, size = runs[at : at + 2048], sizes[at : at + 2048]
+        x = np.zeros((n, len(part)), dtype=np.float32)
+        column = np.repeat(np.arange(len(part)), size)
+        x[owner[np.repeat(part - (np.cumsum(size) - size), size) + np.arange(size.sum())], column] = 1
+        out += np.triu(x @ x.T, 1).astype(np.int32)
+    return out + out.T
+
+
+#: Elements that so many sets share at most are counted by pairs.
+_FEW = 12
+
+
+def _family_pairs(cells: DataFrame, threshold: Fraction, grouped: bool) -> DataFrame:
+    """The links within families: each as a row, or, if ``grouped``, ``id, links, tied``: how many
+    links a class has in a cell, and the least class there that they connect it with."""
+    kind, arrow = cells.schema["id"].dataType.simpleString(), to_arrow_type(cells.schema["id"].dataType)
+    up, down = int(threshold.numerator), int(threshold.denominator)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, a, b), tile, ids, sets in _runs(batches):
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            shared = shared_counts(sets).astype(np.int64)
+            linked = shared * down >= (sizes[:, None] + sizes[None, :] - shared) * up
+            np.fill_diagonal(linked, False)
+            if a != b:
+                linked &= tile[:, None] != tile[None, :]
+            if grouped:
+                least = _least_connected(linked)
+                some = np.flatnonzero(linked.any(axis=1))
+                columns = [pa.array([ids[i] for i in some], arrow), pa.array(linked.sum(axis=1)[some]), pa.array([ids[i] for i in least[some]], arrow)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "links", "tied"])
+                continue
+            for at in range(0, len(ids), 256):
+                x, y = np.nonzero(linked[at : at + 256])
+                x = x + at
+                x, y = x[x < y], y[x < y]
+                columns = [pa.array([ids[i] for i in x], arrow), pa.array([ids[i] for i in y], arrow), *map(pa.array, (shared[x, y], sizes[x], sizes[y]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["class_a", "class_b", "shared", "size_a", "size_b"])
+
+    spread = cells.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "id")
+    if grouped:
+        return by_batch(spread, run, f"id {kind}, links long, tied {kind}")
+    return by_batch(spread, run, f"class_a {kind}, class_b {kind}, shared long, size_a long, size_b long")
+
+
+def _least_connected(linked: np.ndarray) -> np.ndarray:
+    """The least row that each row of a symmetric matrix is connected with."""
+    least = np.arange(len(linked))
+    while len(linked):
+        near = np.where(linked, least[None, :], len(linked)).min(axis=1)
+        now = np.minimum(least, near)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    return least
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list, list[np.ndarray]]]:
+    """Runs of rows of equal (family, a, b), which are sorted so."""
+    now, tile, ids, sets = None, [], [], []
+    for batch in batches:
+        flat, ends = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+        for i, (family, a, b, t, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
+            if (family, a, b) != now:
+                if ids:
+                    yield now, np.array(tile), ids, sets
+                now, tile, ids, sets = (family, a, b), [], [], []
+            tile.append(t)
+            ids.append(own)
+            sets.append(flat[ends[i] : ends[i + 1]])
+    if ids:
+        yield now, np.array(tile), ids, sets
+
+
 def near_duplicates(
     records: DataFrame,
     id_column: str = "id",
@@ -93,6 +286,8 @@ def near_duplicates(
     text_column: str = "extracted_text",
     words: int = 5,
     threshold: Fraction = Fraction(4, 5),
+    hot: int = HOT,
+    tile: int = TILE,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes and links: ``(members, links)``.
 
@@ -103,44 +298,52 @@ def near_duplicates(
     a null id, a null or empty text, or fewer than ``words`` words have no set and don't appear.
     Repeated rows count once.  Other columns are not read.
     """
-    marked = cut_lineage(sketched(records, id_column, title_column, text_column, words))
-    named = marked.groupBy("key").agg(F.min("id").alias("class_id"))
-    # one row per class: the band hashes stay with the row of the least id
-    heads = marked.join(named.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = split_join(marked.select("id", "key").distinct(), named, ["key"]).select("id", "class_id")
+    stages = _stages(records, id_column, title_column, text_column, words, threshold, hot, tile)
+    links = stages.pairs
+    return stages.members, links if stages.cells is None else links.unionByName(_family_pairs(stages.cells, threshold, False))
 
-    posts = heads.select("id", "n", F.explode("bands").alias("band"))
-    least = int(threshold.numerator), int(threshold.denominator)
-    a, b = posts.alias("a"), posts.alias("b")
-    sizes_allow = (F.col("a.n").cast("long") * least[1] >= F.col("b.n").cast("long") * least[0]) & (F.col("b.n").cast("long") * least[1] >= F.col("a.n").cast("long") * least[0])
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & sizes_allow)
-    pairs = cut_lineage(pairs.select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b")).distinct())
 
-    wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
-    source = records.join(wanted.withColumnRenamed("id", id_column), id_column, "left_semi")
-    sets = _sequences(source, id_column, title_column, text_column, words).dropDuplicates(["id"])
-    left, right = sets.select(F.col("id").alias("class_a"), F.col("seqs").alias("_a")), sets.select(F.col("id").alias("class_b"), F.col("seqs").alias("_b"))
-    both = pairs.join(left, "class_a").join(right, "class_b")
-    sized = both.select("class_a", "class_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared"), F.size("_a").cast("long").alias("size_a"), F.size("_b").cast("long").alias("size_b"))
-    links = sized.filter(F.col("shared") * least[1] >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * least[0])
-    return members, links
+def near_duplicate_groups(
+    records: DataFrame,
+    id_column: str = "id",
+    title_column: str | None = "extracted_title",
+    text_column: str = "extracted_text",
+    words: int = 5,
+    threshold: Fraction = Fraction(4, 5),
+    hot: int = HOT,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row per record with a set: ``id, class_id, links`` (of its class to other classes) and
+    ``group_id``, the least record of all that links connect.  As :func:`near_duplicates`, but no
+    pair of a family leaves its tile."""
+    stages = _stages(records, id_column, title_column, text_column, words, threshold, hot, tile)
+    pairs = stages.pairs.select("class_a", "class_b")
+    ends = F.explode(F.array(F.struct(F.col("class_a").alias("class_id"), F.col("class_b").alias("tied")), F.struct(F.col("class_b").alias("class_id"), F.col("class_a").alias("tied"))))
+    known = pairs.select(ends.alias("e")).select("e.class_id", F.lit(1).cast("long").alias("links"), "e.tied")
+    if stages.cells is not None:
+        known = known.unionByName(_family_pairs(stages.cells, threshold, True).withColumnRenamed("id", "class_id"))
+    known = cut_lineage(known)
+    counts = known.groupBy("class_id").agg(F.sum("links").alias("links"))
+    groups = components(known, "class_id", "tied").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    out = split_join(stages.members, counts.join(groups, "class_id"), ["class_id"])
+    return out.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair of records (``id_a < id_b``) within a class or across a link."""
-    one, two = members.select(F.col("id").alias("x"), "class_id"), members.select(F.col("id").alias("y"), "class_id")
-    several = members.groupBy("class_id").count().filter("count > 1").select("class_id")
-    within = one.join(several, "class_id", "left_semi").join(two, "class_id").filter("x < y").select("x", "y")
-    across = links.select("class_a", "class_b").join(one.withColumnRenamed("class_id", "class_a"), "class_a").join(two.withColumnRenamed("class_id", "class_b"), "class_b").select("x", "y")
-    return within.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record: ``id, class_id, links`` (of its class to other classes) and ``group_id``,
-    the least record of all that links connect."""
-    kept = cut_lineage(links.select("class_a", "class_b"))
-    ends = kept.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    groups = components(kept, "class_a", "class_b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    known = ends.join(groups, "class_id")
-    out = split_join(members, known, ["class_id"])
-    return out.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    """Every pair of records (``id_a < id_b``) within a class or across a link; large classes are
+    expanded tile by tile."""
+    tiles = members.groupBy("class_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("class_id", F.ceil(F.col("rows") / _PAIR_ROWS).cast("int").alias("tiles"))
+    placed = split_join(members, tiles, ["class_id"]).withColumn("tiles", F.coalesce("tiles", F.lit(0)))
+    placed = placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int"))
+    several = placed.filter("tiles > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    several = several.select("class_id", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id")
+    one, two = several.alias("one"), several.alias("two")
+    meet = (F.col("one.class_id") == F.col("two.class_id")) & (F.col("one.a") == F.col("two.a")) & (F.col("one.b") == F.col("two.b")) & (F.col("one.id") < F.col("two.id"))
+    within = one.join(two, meet & ((F.col("one.a") == F.col("one.b")) | (F.col("one.tile") != F.col("two.tile")))).select(F.col("one.id").alias("x"), F.col("two.id").alias("y"))
+
+    across = links.select("class_a", "class_b")
+    for end, name in (("class_a", "x"), ("class_b", "y")):
+        fan = tiles.filter("tiles > 1").withColumnRenamed("class_id", end)
+        across = split_join(across, fan, [end]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
+        across = across.join(placed.select(F.col("class_id").alias(end), "tile", F.col("id").alias(name)), [end, "tile"]).drop("tile")
+    return within.unionByName(across.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
