@@ -115,7 +115,7 @@ def _stages(records: DataFrame, id_column: str, title_column: str | None, text_c
     named = marked.groupBy("key").agg(F.min("id").alias("class_id"))
     # one row per class: the band hashes stay with the row of the least id
     heads = marked.join(named.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    members = split_join(marked.select("id", "key").distinct(), named, ["key"]).select("id", "class_id")
+    members = cut_lineage(split_join(marked.select("id", "key").distinct(), named, ["key"]).select("id", "class_id"))
 
     # the bands that several classes share; the counts combine before their shuffle
     posts = heads.select("id", "n", F.explode("bands").alias("band"))
@@ -133,8 +133,9 @@ def _stages(records: DataFrame, id_column: str, title_column: str | None, text_c
     sizes_allow = (F.col("a.n").cast("long") * least[1] >= F.col("b.n").cast("long") * least[0]) & (F.col("b.n").cast("long") * least[1] >= F.col("a.n").cast("long") * least[0])
     apart = ~F.coalesce(F.col("a.family") == F.col("b.family"), F.lit(False))
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & sizes_allow & apart)
-    pairs = pairs.select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b")).distinct()
-    sketches = heads.select("id", "marks")
+    pairs = cut_lineage(pairs.select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b")).distinct())
+    paired = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id")).distinct()
+    sketches = marked.select("id", "marks").join(paired, "id", "left_semi").dropDuplicates(["id"])
     pairs = cut_lineage(_agreeing(pairs, sketches, int(BANDS * ROWS * (float(threshold) - SLACK))))
 
     wanted = pairs.select(F.explode(F.array("class_a", "class_b")).alias("id"))
@@ -145,7 +146,7 @@ def _stages(records: DataFrame, id_column: str, title_column: str | None, text_c
     left, right = sets.select(F.col("id").alias("class_a"), F.col("seqs").alias("_a")), sets.select(F.col("id").alias("class_b"), F.col("seqs").alias("_b"))
     both = pairs.join(left, "class_a").join(right, "class_b")
     sized = both.select("class_a", "class_b", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared"), F.size("_a").cast("long").alias("size_a"), F.size("_b").cast("long").alias("size_b"))
-    checked = sized.filter(F.col("shared") * least[1] >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * least[0])
+    checked = cut_lineage(sized.filter(F.col("shared") * least[1] >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * least[0]))
     return _Stages(members, checked, None if families is None else _cells(families, sets, tile))
 
 
@@ -332,18 +333,24 @@ def near_duplicate_groups(
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of records (``id_a < id_b``) within a class or across a link; large classes are
     expanded tile by tile."""
-    tiles = members.groupBy("class_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("class_id", F.ceil(F.col("rows") / _PAIR_ROWS).cast("int").alias("tiles"))
+    tiles = members.groupBy("class_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    tiles = cut_lineage(tiles.select("class_id", F.ceil(F.col("rows") / _PAIR_ROWS).cast("int").alias("tiles")))
     placed = split_join(members, tiles, ["class_id"]).withColumn("tiles", F.coalesce("tiles", F.lit(0)))
-    placed = placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int"))
+    placed = cut_lineage(placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int")))
     several = placed.filter("tiles > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     several = several.select("class_id", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id")
     one, two = several.alias("one"), several.alias("two")
     meet = (F.col("one.class_id") == F.col("two.class_id")) & (F.col("one.a") == F.col("two.a")) & (F.col("one.b") == F.col("two.b")) & (F.col("one.id") < F.col("two.id"))
     within = one.join(two, meet & ((F.col("one.a") == F.col("one.b")) | (F.col("one.tile") != F.col("two.tile")))).select(F.col("one.id").alias("x"), F.col("two.id").alias("y"))
 
+    # a class may have any number of links: its ids come tile by tile, and the links to them are split
+    lists = placed.groupBy("class_id", "tile").agg(F.collect_list("id").alias("ids"))
+    lists = cut_lineage(lists)
+    fan = tiles.select("class_id", F.col("tiles").alias("fan"))
     across = links.select("class_a", "class_b")
     for end, name in (("class_a", "x"), ("class_b", "y")):
-        fan = tiles.filter("tiles > 1").withColumnRenamed("class_id", end)
-        across = split_join(across, fan, [end]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
-        across = across.join(placed.select(F.col("class_id").alias(end), "tile", F.col("id").alias(name)), [end, "tile"]).drop("tile")
+        fanned = split_join(across, fan.filter("fan > 1").withColumnRenamed("class_id", end), [end])
+        fanned = fanned.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))).drop("fan")
+        held = lists.select(F.col("class_id").alias(end), F.col("tile").cast("int").alias("tile"), "ids")
+        across = cut_lineage(split_join(fanned, held, [end, "tile"]).withColumn(name, F.explode("ids")).drop("ids", "tile"))
     return within.unionByName(across.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
