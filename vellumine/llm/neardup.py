@@ -336,7 +336,7 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     tiles = members.groupBy("class_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     tiles = cut_lineage(tiles.select("class_id", F.ceil(F.col("rows") / _PAIR_ROWS).cast("int").alias("tiles")))
     placed = split_join(members, tiles, ["class_id"]).withColumn("tiles", F.coalesce("tiles", F.lit(0)))
-    placed = cut_lineage(placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int")))
+    placed = placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(0).cast("int"))
     several = placed.filter("tiles > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     several = several.select("class_id", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id")
     one, two = several.alias("one"), several.alias("two")
@@ -346,11 +346,15 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     # a class may have any number of links: its ids come tile by tile, and the links to them are split
     lists = placed.groupBy("class_id", "tile").agg(F.collect_list("id").alias("ids"))
     lists = cut_lineage(lists)
-    fan = tiles.select("class_id", F.col("tiles").alias("fan"))
+    fan = tiles.filter("tiles > 1").select("class_id", F.col("tiles").alias("fan"))
+    large = not fan.isEmpty()
     across = links.select("class_a", "class_b")
     for end, name in (("class_a", "x"), ("class_b", "y")):
-        fanned = split_join(across, fan.filter("fan > 1").withColumnRenamed("class_id", end), [end])
-        fanned = fanned.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))).drop("fan")
+        fanned = across.withColumn("tile", F.lit(0))
+        if large:
+            fanned = split_join(across, fan.withColumnRenamed("class_id", end), [end])
+            fanned = fanned.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))).drop("fan")
         held = lists.select(F.col("class_id").alias(end), F.col("tile").cast("int").alias("tile"), "ids")
-        across = cut_lineage(split_join(fanned, held, [end, "tile"]).withColumn(name, F.explode("ids")).drop("ids", "tile"))
+        across = split_join(fanned, held, [end, "tile"]).withColumn(name, F.explode("ids")).drop("ids", "tile")
+        across = cut_lineage(across) if name == "x" else across
     return within.unionByName(across.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
