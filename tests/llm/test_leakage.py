@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from vellumine.llm.leakage import build_index, leaked_phrases, longest_shared_run, near_passages
+from vellumine.llm import leakage
+from vellumine.llm.leakage import build_index, leaked_phrases, near_passages, run_at
 from vellumine.llm.words import normal_words
 
 
@@ -21,14 +23,18 @@ def test_longest_run_equals_brute_force():
     r = random.Random(5)
     for _ in range(300):
         a, b = ([r.randrange(4) for _ in range(r.randrange(12))] for _ in range(2))
-        assert longest_shared_run(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) == brute(a, b)
+        at = [run_at(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), shift) for shift in range(-12, 13)]
+        assert max(at) == brute(a, b)
 
 
 def test_words_are_compared_after_normalisation():
     assert normal_words("Ｔｈｅ co­op's x_y ﬁ​n 1½") == ["the", "coop", "s", "x", "y", "fin", "11", "2"]
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("probes,broadcast,hot", [(3, 1 << 20, 1 << 22), (1, 1 << 20, 1 << 22), (12, 0, 50), (2, 0, 1 << 22)])
+def test_leaks_equal_brute_force(spark, monkeypatch, probes, broadcast, hot):
+    monkeypatch.setattr(leakage, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(leakage, "HOT_POSTINGS", hot)
     r = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 60)))) for i in range(30)] + [(90, None), (91, "")]
@@ -51,7 +57,7 @@ def test_leaks_equal_brute_force(spark):
                 want[d, i] = n
     docs = spark.createDataFrame(documents, "doc_id long, text string").withColumn("term", docs_clash())
     frame = spark.createDataFrame(items, "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.longest for x in leaked_phrases(docs, frame).collect()}
+    got = {(x.doc_id, x.item_id): x.longest for x in leaked_phrases(docs, frame, probes=probes).collect()}
     assert got == {k: v for k, v in want.items() if k[0] is not None} and len(want) > 20
     assert leaked_phrases(docs.limit(0), frame).count() == 0 and leaked_phrases(docs, frame.limit(0)).count() == 0
 
@@ -85,3 +91,27 @@ def test_the_format_characters_are_unicodes():
     from vellumine.llm.words import _FORMAT
 
     assert all((unicodedata.category(chr(i)) == "Cf") == bool(_FORMAT.fullmatch(chr(i))) for i in range(0x110000))
+
+
+def test_windows_of_stop_words_only(spark):
+    """Every document is full of the item's words; only one has them in its order."""
+    r = random.Random(8)
+    stop = ["the", "of", "and", "to", "in", "a"]
+    item = [r.choice(stop) for _ in range(14)]
+    documents = [(i, " ".join(r.choice(stop) for _ in range(400))) for i in range(50)]
+    documents.append((99, " ".join([*documents[0][1].split()[:100], *item[1:13], "end"])))
+    want = {(d, 7): brute(item, t.split()) for d, t in documents if brute(item, t.split()) >= 12}
+    got = leaked_phrases(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.longest for x in got.collect()} == want and want[99, 7] >= 12
+
+
+def test_runs_of_anchors_go_on_across_batches(spark):
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[10:21] + ["x"] + words[22:40]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(words[:25]))], "item_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = {(x.doc_id, x.item_id): x.longest for x in leaked_phrases(docs, items).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(1, 5): 3000, (1, 6): 25, (2, 5): 18}

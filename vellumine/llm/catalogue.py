@@ -12,7 +12,7 @@ from vellumine.llm.chunking import LIMIT, split_texts
 from vellumine.llm.garble import garbled_texts
 from vellumine.llm.knn import nearest
 from vellumine.llm.langid import declared, identify, language_sets, mislabelled
-from vellumine.llm.leakage import build_index, leaked_phrases, near_passages
+from vellumine.llm.leakage import WORDS, build_index, leaked_phrases, near_passages
 from vellumine.llm.neardup import duplicate_pairs, near_duplicate_groups, near_duplicates
 from vellumine.llm.packing import CAPACITY, pack, token_counts
 from vellumine.sources.tables import table
@@ -126,7 +126,16 @@ c AS (SELECT id, least(id, coalesce((SELECT min(x) FROM k WHERE y = id AND same)
 e AS (SELECT DISTINCT a.class_id AS u, b.class_id AS v FROM (SELECT x, y FROM k UNION ALL SELECT y, x FROM k) JOIN c a ON a.id = x JOIN c b ON b.id = y WHERE a.class_id <> b.class_id),
 g(u, root) AS (SELECT DISTINCT class_id, class_id FROM c UNION SELECT e.v, g.root FROM g JOIN e ON e.u = g.u)
 SELECT id AS record_id, class_id, (SELECT count(*) FROM e WHERE u = class_id) AS links, (SELECT min(root) FROM g WHERE g.u = class_id) AS group_id FROM c"""
+#: NFKC as far as the tables need it: canonical composition, and full-width forms of ASCII by their offset.
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_NORMAL = r"regexp_extract_all(lower(regexp_replace(nfc_normalize(translate(text, '{wide}', '{plain}')), '\p{{Cf}}', '', 'g')), '[\pL\pN]+')".format(wide=_WIDE, plain=_PLAIN)
+_LEAKS = f"""WITH d AS (SELECT DISTINCT doc_id, {_NORMAL} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_NORMAL} AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {WORDS - 2})) AS k FROM i)),
+h AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WORDS - 2})) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)"""
 ORACLE = {
+    "p9_found": _LEAKS,
     "p2_found": f"SELECT item_table, item_id FROM {_ITEMS} WHERE length({_STRIPPED}) > {LIMIT}",
     "p6_groups": _GROUPS,
     "p6_found": _SEQUENCES + "SELECT x AS record_id_a, y AS record_id_b FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 10 * k >= 7 * (a.n + b.n - k)",

@@ -28,16 +28,16 @@ class Hasher:
         self.bound = bound
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, np.empty(len(words), dtype=np.int64)
+        known = self.known
         if len(known) > self.bound:
             known.clear()
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                h = known[w] = h - (1 << 64) if h >> 63 else h
-            out[i] = h
-        return out
+        found = list(map(known.get, words))
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                    found[i] = known[w] = h - (1 << 64) if h >> 63 else h
+        return np.array(found, dtype=np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
