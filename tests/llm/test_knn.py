@@ -49,7 +49,7 @@ def test_recall_on_clusters_and_in_tiles(spark):
     v = clusters(600, 24, 4)
     ids = np.random.default_rng(5).permutation(5000)[:600]
     want = brute(ids.tolist(), v)
-    for options in ({}, {"tile": 40}, {"rerank": 30}):
+    for options in ({}, {"tile": 40}, {"rerank": 30}, {"most_pivots": 12, "split": 150}):
         got = {}
         for x in nearest(frame(spark, ids, v), width=24, **options).collect():
             got.setdefault(x.id, set()).add(x.neighbour)
@@ -89,3 +89,23 @@ def test_all_ties_reach_the_exact_rule(spark):
     for x in nearest(frame(spark, ids, v), width=24, files=100, prefix=100).collect():
         one.setdefault(x.id, []).append((x.rank, x.neighbour))
     assert {i: [n for _, n in sorted(g)] for i, g in one.items()} == want
+
+
+def test_long_files_are_split_by_further_pivots():
+    from vellumine.llm.knn import files_of
+
+    name = lambda *p: np.array(p, dtype=np.int16).tobytes()
+    ranks = np.array([7, 3, 9, 1], dtype=np.int16)
+    assert files_of(ranks, 2, set()) == [name(7), name(3)]
+    assert files_of(ranks, 2, {name(7)}) == [name(3, 7), name(7, 9), name(3)]
+    assert files_of(ranks, 2, {name(7), name(3)}) == [name(3, 7), name(7, 9), name(3, 9)]
+    assert files_of(ranks, 1, {name(7), name(3, 7), name(3, 7, 9), name(1, 3, 7), name(1, 3, 7, 9)}) == [name(1, 3, 7, 9), name(7, 9)]
+
+
+def test_one_pivot_gives_the_exact_answer(spark):
+    v = clusters(300, 16, 11)
+    ids = np.random.default_rng(12).permutation(900)[:300]
+    got = {}
+    for x in nearest(frame(spark, ids, v), width=16, most_pivots=1, tile=70, split=100).collect():
+        got.setdefault(x.id, []).append((x.rank, x.neighbour))
+    assert {i: [n for _, n in sorted(g)] for i, g in got.items()} == brute(ids.tolist(), v)

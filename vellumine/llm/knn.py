@@ -2,7 +2,8 @@
 
 Index: every vector is represented by its nearest pivots in order of nearness, and posted in the
 inverted files of the first few.  The pivots are a bounded sample of the vectors; every vector is
-indexed.
+indexed.  A file that grows too long is split by the next pivots of its members, again and again if
+need be, so that a vector meets a bounded number of others however many there are.
 
 Search: every vector is a query.  It meets the members of its own files there, so a file's vectors
 travel once for all queries on it.  Within a file the members are ranked by Spearman's footrule
@@ -36,6 +37,11 @@ PREFIX, FILES = 16, 3
 RERANK = 160
 #: Members of a file that one task holds at a time; a longer file is cut into tiles that meet in pairs.
 TILE = 2048
+#: Members from which on a file is split by further pivots, and the files each of its members goes to.
+SPLIT, SPREAD = 8192, 2
+#: Files that are split at most, as their names (at most 2 * PREFIX bytes each) are broadcast; where there
+#: would be more, files may be longer.
+MOST_SPLIT = 1 << 20
 
 
 def usable(embedding: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +162,54 @@ def _best(ids: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, sides: np.nda
         yield ids[q[keep]], ids[c[keep]], exact[keep]
 
 
-def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES, prefix: int = PREFIX, most_pivots: int = MOST_PIVOTS, rerank: int = RERANK, tile: int = TILE) -> DataFrame:
+def files_of(ranks: np.ndarray, files: int, split: frozenset[bytes] | set[bytes]) -> list[bytes]:
+    """The files of a vector whose pivots, nearest first, are ``ranks`` (int16): those named by each of
+    the first ``files``; one that is split gives way to those with one of the next SPREAD pivots more.
+    A name is the sorted numbers of its pivots."""
+    out: dict[bytes, None] = {}
+    todo = [(int(p),) for p in ranks[:files]][::-1]
+    while todo:
+        held = todo.pop()
+        name = np.array(sorted(held), dtype=np.int16).tobytes()
+        further = [int(p) for p in ranks if p not in held][:SPREAD] if name in split else []
+        if further:
+            todo += [(*held, p) for p in further[::-1]]
+        else:
+            out[name] = None
+    return list(out)
+
+
+def _split_files(index: DataFrame, files: int, most: int) -> frozenset[bytes]:
+    """The names of the files that are too long, level by level."""
+    split: set[bytes] = set()
+    most = max(most, files * index.count() // MOST_SPLIT)
+    while True:
+        now = frozenset(split)
+
+        def run(batches: Iterator[pa.RecordBatch], now: frozenset = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = [f for r in batch.column(0).to_pylist() for f in files_of(np.frombuffer(r, dtype=np.int16), files, now)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["file"])
+
+        long = by_batch(index.select("ranks"), run, "file binary").groupBy("file").count().filter(F.col("count") > most)
+        # a file with all pivots of the prefixes can't be split further; the others are at most MOST_SPLIT a level
+        found = {bytes(x) for x in long.toArrow()["file"].to_pylist()} - split
+        if not found:
+            return now
+        split |= found
+
+
+def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES, prefix: int = PREFIX, most_pivots: int = MOST_PIVOTS, rerank: int = RERANK, tile: int = TILE, split: int = SPLIT) -> DataFrame:
     """``id, neighbour, similarity, rank``: for every usable vector its ``k`` most similar others.
 
     ``vectors`` has ``id`` (long) and ``embedding`` (list of float).  Vectors that are null, not
     ``width`` wide, all zero, or hold a null, NaN or infinite value take no part.  Repeated rows
     count once.  Equal similarity (to seven decimals) goes to the smaller id; equal vectors have
     similarity 1.  Other columns are not read.  The answer is approximate in that a neighbour is
-    found only if it shares one of the first ``files`` pivots; similarities are exact.
+    found only if it shares one of the first ``files`` pivots, and further ones in files that are
+    split; similarities are exact.  With ``most_pivots=1`` all vectors are in one file, whose tiles
+    meet in pairs: the exact answer, by a number of comparisons that grows with the square of the
+    number of vectors.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding")).filter("id is not null and embedding is not null")
@@ -197,17 +243,30 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
                         pa.array([keys[i] for i in part.tolist()], pa.binary()),
                         pa.array([pack_vector(found[i], press) for i in part.tolist()], pa.binary()),
                         pa.array([x.tobytes() for x in near], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * files), pa.array(near[:, :files].astype(np.int32).ravel())),
                     ],
-                    names=["id", "key", "vector", "ranks", "files"],
+                    names=["id", "key", "vector", "ranks"],
                 )
 
-    index = by_batch(vectors, represent, "id long, key binary, vector binary, ranks binary, files array<int>")
-    index = as_table(index, "permutation-index")
-    posts = index.select("id", "key", "vector", "ranks", F.explode("files").alias("file"))
-    # at most one row per pivot: the lengths of the files
-    lengths = index.select(F.explode("files").alias("file")).groupBy("file").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
-    posts = posts.join(F.broadcast(lengths), "file", "left").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).otherwise(F.lit(0)))
+    index = as_table(by_batch(vectors, represent, "id long, key binary, vector binary, ranks binary"), "permutation-index")
+    long = spark.sparkContext.broadcast(_split_files(index, files, split))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = long.value
+        for batch in batches:
+            names = [files_of(np.frombuffer(r, dtype=np.int16), files, given) for r in batch.column(batch.schema.get_field_index("ranks")).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(names)), [len(f) for f in names]))
+            yield pa.RecordBatch.from_arrays([pa.array([f for n in names for f in n], pa.binary()), *(c.take(rows) for c in batch.columns)], names=["file", *batch.schema.names])
+
+    def posted(*columns: str) -> DataFrame:
+        kinds = {"id": "long"}
+        return by_batch(index.select(*columns), post, "file binary, " + ", ".join(f"{c} {kinds.get(c, 'binary')}" for c in columns))
+
+    # the lengths of the files that take several tiles
+    lengths = posted("ranks").groupBy("file").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).filter("tiles > 1")
+    lengths = cut_lineage(lengths)
+    lengths = F.broadcast(lengths) if lengths.count() <= MOST_SPLIT else lengths
+    posts = posted("id", "key", "vector", "ranks")
+    posts = posts.join(lengths, "file", "left").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).otherwise(F.lit(0)))
     others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
     posts = posts.withColumn("other", F.explode(others))
     posts = posts.select("file", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "key", "vector", "ranks")
