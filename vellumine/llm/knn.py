@@ -29,12 +29,12 @@ from vellumine.functions.batches import by_batch
 from vellumine.operators.joins import split_join
 from vellumine.session import as_table, cut_lineage
 
-#: Pivots: PIVOT_FACTOR * sqrt(vectors), within these bounds; the upper one bounds what is broadcast.
-PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 4096
+#: Pivots: vectors to the power of PIVOT_POWER, within these bounds; the upper one bounds what is broadcast.
+PIVOT_POWER, LEAST_PIVOTS, MOST_PIVOTS = 0.75, 64, 4096
 #: Length of the pivot prefix; files that each vector is posted in.
 PREFIX, FILES = 16, 3
 #: Vectors reranked per query and file.
-RERANK = 160
+RERANK = 240
 #: Members of a file that one task holds at a time; a longer file is cut into tiles that meet in pairs.
 TILE = 2048
 #: Members from which on a file is split by further pivots, and the files each of its members goes to.
@@ -85,7 +85,7 @@ def _key(v: np.ndarray) -> bytes:
 def _pivots(vectors: DataFrame, width: int, most: int) -> np.ndarray:
     """The pivots: usable vectors of the least id hashes, distinct, at most ``most``."""
     n = vectors.count()
-    wanted = int(min(most, max(LEAST_PIVOTS, PIVOT_FACTOR * n**0.5)))
+    wanted = int(min(most, max(LEAST_PIVOTS, n**PIVOT_POWER)))
     share = min(1.0, 1.5 * wanted / max(n, 1))
     h = F.xxhash64("id")
     near = vectors.filter(h < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else vectors
