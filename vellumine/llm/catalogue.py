@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.chunking import LIMIT, split_texts
+from vellumine.llm.chunking import LIMIT, OVERLAP, split_texts
 from vellumine.llm.garble import garbled_texts
 from vellumine.llm.knn import nearest
 from vellumine.llm.langid import declared, identify, language_sets, mislabelled
@@ -94,6 +94,26 @@ def p8_fill(spark: SparkSession, base: str) -> DataFrame:
     return held.agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), (F.sum("held") / (F.count("*") * CAPACITY)).alias("fill"))
 
 
+def p8_audit(spark: SparkSession, base: str) -> DataFrame:
+    """Texts placed, containers over the capacity, and texts whose parts don't cover their tokens once."""
+    placed = pack(_tokens(spark, base))
+    over = placed.groupBy("container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("held")).agg(F.count_if(F.col("held") > CAPACITY).alias("over_capacity"))
+    parts = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("part").alias("last"), F.sum(F.col("token_end") - F.col("token_start")).alias("held"), F.max("token_end").alias("end"))
+    texts = parts.agg(F.count("*").alias("texts"), F.count_if((F.col("n") != F.col("last") + 1) | (F.col("held") != F.col("end"))).alias("not_covered"))
+    return texts.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def p2_restored(spark: SparkSession, base: str) -> DataFrame:
+    """Every item's text put together again from its pieces, and how many of them exceed the limit."""
+    own = F.expr(f"struct(piece, if(piece = 0, piece_text, substring(piece_text, least({OVERLAP}, start_before - start) + 1)) AS own)")
+    pieces = p2_pieces(spark, base)
+    # each piece's overlap is what lies before the end of the one before it
+    before = pieces.select("item_table", "item_id", (F.col("piece") + 1).alias("piece"), (F.col("start") + F.col("chars")).alias("start_before"))
+    joined = pieces.join(before, ["item_table", "item_id", "piece"], "left").withColumn("own", own)
+    put = joined.groupBy("item_table", "item_id").agg(F.sort_array(F.collect_list("own")).alias("o"), F.count_if(F.col("chars") > LIMIT).alias("over_limit"))
+    return put.select("item_table", "item_id", F.concat_ws("", F.transform("o", lambda x: x["own"])).alias("text"), "over_limit")
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_phrases(table(spark, base, "documents"), table(spark, base, "eval_items")).select("doc_id", "item_id")
 
@@ -111,7 +131,7 @@ def p10_restored(spark: SparkSession, base: str) -> DataFrame:
     return garbled_texts(table(spark, base, "documents"))
 
 
-_RUNS = [p2_found, p2_pieces, p3_found, p3_segments, p3_texts, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p9_found, p9_near, p10_found, p10_restored]
+_RUNS = [p2_found, p2_pieces, p2_restored, p3_found, p3_segments, p3_texts, p6_found, p6_groups, p7_found, p8_containers, p8_fill, p8_audit, p9_found, p9_near, p10_found, p10_restored]
 QUERIES = {f.__name__: f for f in _RUNS}
 
 _ITEMS = "(SELECT 'records' AS item_table, id AS item_id, extracted_text AS t FROM records UNION SELECT 'record_embeddings', id, chunk_text FROM record_embeddings)"
@@ -135,6 +155,8 @@ g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g F
 h AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WORDS - 2})) AS k FROM d))
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)"""
 ORACLE = {
+    "p2_restored": f"SELECT item_table, item_id, {_STRIPPED} AS text, 0 AS over_limit FROM {_ITEMS} WHERE {_STRIPPED} <> ''",
+    "p8_audit": "SELECT count(*) AS texts, 0 AS over_capacity, 0 AS not_covered FROM documents WHERE text <> ''",
     "p9_found": _LEAKS,
     "p2_found": f"SELECT item_table, item_id FROM {_ITEMS} WHERE length({_STRIPPED}) > {LIMIT}",
     "p6_groups": _GROUPS,

@@ -96,7 +96,8 @@ def _pivots(vectors: DataFrame, width: int, most: int) -> np.ndarray:
         if (k := _key(v)) not in seen:
             seen.add(k)
             found.append(v)
-    return unit(np.array(found[:wanted])).astype(np.float32) if found else np.zeros((0, width), dtype=np.float32)
+    # half precision: only their order matters, and they are sent to every worker
+    return unit(np.array(found[:wanted])).astype(np.float16) if found else np.zeros((0, width), dtype=np.float16)
 
 
 def footrule(ranks: np.ndarray, prefix: int) -> np.ndarray:
@@ -222,7 +223,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
 
     def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1, write_content_size=True)
-        given = shared.value
+        given = shared.value.astype(np.float32)
         for batch in batches:
             rows, found = usable(batch.column(1), width)
             ids = batch.column(0).to_numpy()[rows]
@@ -241,7 +242,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
                     [
                         pa.array(ids[part]),
                         pa.array([keys[i] for i in part.tolist()], pa.binary()),
-                        pa.array([pack_vector(found[i], press) for i in part.tolist()], pa.binary()),
+                        pa.array([pack_vector(found[i] + np.float32(0), press) for i in part.tolist()], pa.binary()),  # -0 is 0
                         pa.array([x.tobytes() for x in near], pa.binary()),
                     ],
                     names=["id", "key", "vector", "ranks"],
@@ -269,20 +270,20 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 768, files: int = FILES
     posts = posts.join(lengths, "file", "left").withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).otherwise(F.lit(0)))
     others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
     posts = posts.withColumn("other", F.explode(others))
-    posts = posts.select("file", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "key", "vector", "ranks")
+    posts = posts.select("file", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "vector", "ranks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in _cells(batches):
             by_key: dict[bytes, int] = {}
             for i in sorted(range(len(rows)), key=lambda i: rows[i][1]):
-                by_key.setdefault(rows[i][2], i)
+                by_key.setdefault(rows[i][2], i)  # equal vectors are packed alike
             members = [rows[i] for i in by_key.values()]
             if len(members) < 2:
                 continue
             expand = zstandard.ZstdDecompressor()
             ids = np.array([m[1] for m in members], dtype=np.int64)
-            held = unit(np.array([unpack_vector(m[3], expand) for m in members])).astype(np.float32)
-            ranks = np.array([np.frombuffer(m[4], dtype=np.int16) for m in members])
+            held = unit(np.array([unpack_vector(m[2], expand) for m in members])).astype(np.float32)
+            ranks = np.array([np.frombuffer(m[3], dtype=np.int16) for m in members])
             sides = np.array([m[0] for m in members]) if cell[1] != cell[2] else None
             for q, c, s in _best(ids, held, ranks, sides, k, rerank):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["q", "c", "s"])

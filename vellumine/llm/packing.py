@@ -14,15 +14,18 @@ sizes.  Texts over the capacity are cut into full containers and a remainder tha
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions.batches import by_batch, ship_package
+from vellumine.session import as_table
 
 CAPACITY = 2048
 #: Sizes of at most capacity / SMALL form the last class.
@@ -45,12 +48,17 @@ def _encoder(path: str, pattern: str):  # noqa: ANN202
 
 
 def token_counts(documents: DataFrame, id_column: str, text_column: str, ranks_path: str, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id, tokens`` by the byte-level BPE whose ranks file lies at ``ranks_path`` on every
-    worker.  Null and empty texts have 0 tokens; strings of special tokens are ordinary text."""
+    """``doc_id, tokens`` by the byte-level BPE whose ranks file lies at ``ranks_path`` on the driver;
+    the workers get it through Spark's file server.  Null and empty texts have 0 tokens; strings of
+    special tokens are ordinary text."""
     kind = documents.schema[id_column].dataType.simpleString()
+    context = documents.sparkSession.sparkContext
+    name = os.path.basename(ranks_path)
+    if name not in {os.path.basename(f) for f in context.listFiles}:
+        context.addFile(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path, pattern).encode_ordinary
+        encode = _encoder(SparkFiles.get(name), pattern).encode_ordinary
         for batch in batches:
             sizes = [0 if not t else len(encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])
@@ -118,6 +126,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, small: int = SMALL, block:
     """
     kind = sizes.schema["doc_id"].dataType.simpleString()
     ship_package(sizes.sparkSession)
+    # counting the texts and packing them both read the sizes: they are written once
+    sizes = as_table(sizes.filter("tokens > 0").select("doc_id", F.col("tokens").cast("long").alias("tokens")), "sizes")
     n = max(1, -(-sizes.count() // block))
 
     def run(table: pa.Table) -> pa.Table:
@@ -142,6 +152,5 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, small: int = SMALL, block:
             }
         )
 
-    placed = sizes.filter("tokens > 0").select("doc_id", F.col("tokens").cast("long").alias("tokens"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(n)))
+    placed = sizes.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(n)))
     return placed.groupBy("block").applyInArrow(run, f"doc_id {kind}, part long, token_start long, token_end long, container string")
