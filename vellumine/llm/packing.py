@@ -5,15 +5,17 @@ capacity: class ``k`` holds sizes in (C/(k+1), C/k], and each of its containers
 texts.  Texts of at most C/M form the last class.  Every worker packs its own block of texts and
 needs to know nothing of the others.
 
-Containers of a class stand to lose up to C/(k+1) each.  So within a block the last class isn't
-packed alone: its texts first go into the gaps that full containers leave, largest text into the
-tightest gap it fits, and only the rest opens containers of their own, by next fit on descending
+Containers of a class stand to lose up to C/(k+1) each.  So within a block the classes come in
+descending order of size, and the texts of a class first go into the gaps that the containers of
+the classes before it leave, largest text into the tightest gap it fits; the rest opens containers
+of its own, of k texts each.  What is left of the last class is packed by next fit on descending
 sizes.  Texts over the capacity are cut into full containers and a remainder that is packed.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,23 +72,22 @@ def pack_block(sizes: np.ndarray, capacity: int, small: int = SMALL) -> tuple[np
     """(container of each item, number of containers) for sizes of 1 to ``capacity``."""
     where = np.full(len(sizes), -1, dtype=np.int64)
     classes = np.minimum(capacity // np.maximum(sizes, 1), small)
-    opened, room = 0, []
-    for k in range(1, small):
+    opened, room = 0, np.zeros(0, dtype=np.int64)
+    rest = np.zeros(0, dtype=np.int64)
+    for k in range(1, small + 1):
         items = np.flatnonzero(classes == k)
-        if not len(items):
-            continue
-        # the class's order doesn't alter how full its containers are on the whole; mixing large
-        # with small of the class evens their gaps out
-        items = items[np.argsort(sizes[items], kind="stable")]
-        n = -(-len(items) // k)
-        box = np.arange(len(items)) % n
-        where[items] = opened + box
-        room.append(capacity - np.bincount(box, weights=sizes[items], minlength=n).astype(np.int64))
-        opened += n
-    rest = np.flatnonzero(classes == small)
-    rest = rest[np.argsort(-sizes[rest], kind="stable")]
-    if room and len(rest):
-        rest = _fill(sizes, rest, np.concatenate(room), where)
+        items = items[np.argsort(-sizes[items], kind="stable")]
+        if len(room) and len(items):
+            items, room = _fill(sizes, items, room, where)
+        if k == small:
+            rest = items
+        elif len(items):
+            # one of each stretch of sizes to a container, which evens their gaps out
+            n = -(-len(items) // k)
+            box = np.arange(len(items)) % n
+            where[items] = opened + box
+            room = np.concatenate((room, capacity - np.bincount(box, weights=sizes[items], minlength=n).astype(np.int64)))
+            opened += n
     free = 0
     for i in rest.tolist():
         if sizes[i] > free:
@@ -95,10 +96,10 @@ def pack_block(sizes: np.ndarray, capacity: int, small: int = SMALL) -> tuple[np
     return where, opened
 
 
-def _fill(sizes: np.ndarray, items: np.ndarray, room: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Put ``items`` (descending) into the tightest gaps they fit; returns those left over."""
-    import bisect
-
+def _fill(sizes: np.ndarray, items: np.ndarray, room: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put ``items`` (descending) into the tightest gaps they fit; returns those left over and the
+    room that is left in each container."""
+    room = room.copy()
     gaps = sorted((int(r), b) for b, r in enumerate(room.tolist()) if r > 0)
     left = []
     for i in items.tolist():
@@ -108,10 +109,10 @@ def _fill(sizes: np.ndarray, items: np.ndarray, room: np.ndarray, where: np.ndar
             left.append(i)
             continue
         r, b = gaps.pop(at)
-        where[i] = b
+        where[i], room[b] = b, r - s
         if r > s:
             bisect.insort(gaps, (r - s, b))
-    return np.array(left, dtype=np.int64)
+    return np.array(left, dtype=np.int64), room
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, small: int = SMALL, block: int = BLOCK) -> DataFrame:
