@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.batches import by_batch
 from vellumine.operators.joins import split_join
-from vellumine.session import cut_lineage
+from vellumine.session import as_table, cut_lineage
 
 # The languages, in order, and country suffixes that speak for one of them.
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt")
@@ -120,31 +120,42 @@ def fit(records: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     labelled = records.filter("label is not null")
     share = min(1.0, rows / max(1, labelled.count()))
     drawn = labelled.filter(F.xxhash64("record_id") <= F.lit(int(-(2**63) + share * (2**64 - 2**11)))) if share < 1 else labelled
-    sample = cut_lineage(drawn.select("text", "label"))
 
-    def counted(model: Model | None):  # noqa: ANN202
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, list[str], list[str]]] = []
+            for text, label in zip(*(c.to_pylist() for c in batch.columns)):
+                for a, b in segments(text):
+                    whole = text[a:b]
+                    rest = _QUOTED.sub(" ", whole)
+                    found = sorted(set(words(whole)))
+                    rows.append((LANGUAGES.index(label), found, found if rest == whole else sorted(set(words(rest)))))
+            kinds = pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["l", "words", "unquoted"])
+
+    # the texts are read and cut into words once, for both fits
+    drawn = drawn.select("text", "label")
+    cut = as_table(by_batch(drawn, sentences, "l int, words array<string>, unquoted array<string>"), "sentences")
+
+    def sure(model: Model):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[tuple[str, int], int] = {}
             for batch in batches:
-                for text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                    for a, b in segments(text):
-                        if model is None:
-                            l = LANGUAGES.index(label)
-                        else:
-                            logs, telling = model.segment(text[a:b])
-                            order = np.sort(logs)
-                            if telling < LEAST_WORDS or order[-1] - order[-2] < 4:
-                                continue
-                            l = int(logs.argmax())
-                        for w in set(words(text[a:b])):
-                            seen[w, l] = seen.get((w, l), 0) + 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.string()), pa.array([l for _, l in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["w", "l", "n"])
+                whole, best = batch.column(0), []
+                for found, rest in zip(whole.to_pylist(), batch.column(1).to_pylist()):
+                    logs, telling = model.score(rest)
+                    if telling < LEAST_WORDS and rest != found:
+                        logs, telling = model.score(found)
+                    order = np.sort(logs)
+                    best.append(int(logs.argmax()) if telling >= LEAST_WORDS and order[-1] - order[-2] >= 4 else None)
+                yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), whole], names=["l", "words"])
 
         return run
 
-    model = Model(_counts(by_batch(sample, counted(None), "w string, l int, n long")))
-    return Model(_counts(by_batch(sample, counted(model), "w string, l int, n long")))
+    def counted(rows: DataFrame) -> dict[str, np.ndarray]:
+        return _counts(rows.select("l", F.explode("words").alias("w")).groupBy("w", "l").agg(F.count("*").alias("n")))
+
+    model = Model(counted(cut.select("l", "words")))
+    return Model(counted(by_batch(cut.select("words", "unquoted"), sure(model), "l int, words array<string>").filter("l is not null")))
 
 
 def segment_scores(records: DataFrame, model: Model) -> DataFrame:
@@ -186,9 +197,10 @@ def identify(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     labelled the word model is empty and nothing is identified.
     """
     records = records.filter("text <> ''")
-    scored = cut_lineage(segment_scores(records, fit(records, sample_rows)))
+    scored = segment_scores(records, fit(records, sample_rows))
+    scored = cut_lineage(scored.withColumn("guesses", F.array_distinct(F.transform("segs", lambda s: _best(s["logs"])))))
     n = len(LANGUAGES)
-    first = scored.select("host", "collection", "label", F.explode(F.array_distinct(F.transform("segs", lambda s: _best(s["logs"])))).alias("l"))
+    first = scored.select("host", "collection", "label", F.explode("guesses").alias("l"))
     by_host = first.groupBy("host", "collection", "label", "l").count()
     by_host = cut_lineage(by_host)
 
@@ -199,17 +211,20 @@ def identify(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     says = np.log(agree / agree.sum(axis=0))
     archive = (agree.sum(axis=0) / agree.sum()).tolist()
 
-    def wide(keys: list[str]) -> DataFrame:
-        return by_host.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("count")).otherwise(0)).cast("double") for i in range(n)]).alias("c"))
-
-    def leaning(c: Column, on: Column) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(c, on, lambda x, p: (x + LEAN * p) / (total + LEAN))
+    def wide(keys: list[str], name: str) -> DataFrame:
+        return by_host.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("count")).otherwise(0)).cast("double") for i in range(n)]).alias(name))
 
     whole = F.array(*map(F.lit, archive))
-    collections = wide(["collection"]).select("collection", leaning(F.col("c"), whole).alias("pc"))
-    hosts = wide(["host", "collection"]).join(collections, "collection")
-    hosts = hosts.select("host", "collection", leaning(F.col("c"), F.col("pc")).alias("ph"))
+    sums = [F.aggregate(c, F.lit(0.0), lambda a, x: a + x) for c in ("hc", "cc")]
+    hosts = wide(["host", "collection"], "hc").join(wide(["collection"], "cc"), "collection").withColumns(dict(zip(("hn", "cn"), sums)))
+
+    def leaning(c: str, total: str, i: int, on: Column) -> Column:
+        # what a record's own text tells is no evidence of its host
+        own = F.array_contains("guesses", i).cast("double")
+        return (F.col(c)[i] - own + LEAN * on) / (F.col(total) - F.size("guesses") + LEAN)
+
+    ph = F.array(*[leaning("hc", "hn", i, leaning("cc", "cn", i, F.lit(archive[i]))) for i in range(n)])
+    ph = F.when(F.col("hc").isNull(), whole).otherwise(ph)
 
     table = F.create_map(*[x for i, l in enumerate((*LANGUAGES, "")) for x in (F.lit(l), F.array(*map(F.lit, says[i].tolist())))])
     known = [(s, LANGUAGES.index(l)) for s, l in SUFFIXES.items()]
@@ -217,9 +232,10 @@ def identify(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     none = F.array(*[F.lit(0.0)] * n)
     joined = split_join(scored, hosts, ["host", "collection"])
     # the prior and the declaration speak once per record, its segments share them
-    prior = F.zip_with(F.transform(F.coalesce("ph", whole), lambda p: F.log(p)), table[F.coalesce("label", F.lit(""))], lambda a, b: a + b)
+    prior = F.zip_with(F.transform(ph, lambda p: F.log(p)), table[F.coalesce("label", F.lit(""))], lambda a, b: a + b)
     prior = F.zip_with(prior, F.coalesce(hint[F.coalesce("suffix", F.lit(""))], none), lambda a, b: a + b)
-    fused = joined.select("record_id", "label", prior.alias("prior"), F.explode("segs").alias("s"))
+    # computed below the explosion, once a record
+    fused = joined.select("record_id", "label", prior.alias("prior"), "segs").select("record_id", "label", "prior", F.explode("segs").alias("s"))
     fused = fused.select("record_id", "label", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.zip_with("s.logs", "prior", lambda a, b: a.cast("double") + b).alias("logs"))
     top = F.array_max("logs")
     fused = fused.withColumns({"best": _best(F.col("logs")), "confidence": 1.0 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))})
