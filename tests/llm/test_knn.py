@@ -109,3 +109,14 @@ def test_one_pivot_gives_the_exact_answer(spark):
     for x in nearest(frame(spark, ids, v), width=16, most_pivots=1, tile=70, split=100).collect():
         got.setdefault(x.id, []).append((x.rank, x.neighbour))
     assert {i: [n for _, n in sorted(g)] for i, g in got.items()} == brute(ids.tolist(), v)
+
+
+def test_no_shortlist_cuts_a_large_cluster(spark):
+    """700 vectors about as near to one another, all in the same files: the nearest are found among all of them."""
+    r = np.random.default_rng(14)
+    v = (r.normal(size=32) + 0.5 * r.normal(size=(700, 32))).astype(np.float32)
+    ids = r.permutation(2000)[:700]
+    got = {}
+    for x in nearest(frame(spark, ids, v), width=32, most_pivots=6, files=6).collect():
+        got.setdefault(x.id, []).append((x.rank, x.neighbour))
+    assert {i: [n for _, n in sorted(g)] for i, g in got.items()} == brute(ids.tolist(), v)
