@@ -93,3 +93,21 @@ def test_a_template_of_many_records(spark):
     out = near_duplicate_groups(df, words=3, threshold=Fraction(7, 10))
     got = out.groupBy("links", "group_id").count().collect()
     assert [(x.links, x.group_id, x["count"]) for x in got] == [(n - 1, 0, n)]
+
+
+def test_only_agreeing_pairs_leave_a_band(spark):
+    """2,000 records of a common frame: bands that they share by chance give no candidates, in any number of rounds."""
+    from vellumine.llm import neardup
+
+    r = random.Random(4)
+    frame = [f"f{i}" for i in range(24)]
+    rows = [(i, None, " ".join([*frame, *(f"w{r.randrange(10**6)}" for _ in range(36))])) for i in range(2000)]
+    rows += [(2000 + i, None, rows[i][2] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, extracted_title string, extracted_text string")
+    counted = []
+    for round_rows in (1 << 23, 12 * 2005):
+        stages = neardup._stages(df, "id", "extracted_title", "extracted_text", 3, Fraction(7, 10), 256, 1024, round_rows)
+        assert stages.cells is None
+        counted.append(sorted((x.class_a, x.class_b) for x in stages.pairs.collect()))
+    assert counted == [[(i, 2000 + i) for i in range(5)]] * 2
+    assert neardup.least_agreeing(Fraction(7, 10)) == 117
