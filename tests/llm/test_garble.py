@@ -163,3 +163,13 @@ def test_a_lone_replacement_character_counts_by_the_word_after_it(spark):
     assert label("one � two � three") and not label("one � two")
     assert words_after_dashes(df.limit(0)) == {}
     assert words_after_dashes(df)["because"] > 2
+
+
+def test_words_after_dashes_are_counted_in_all_texts(spark):
+    """60,000 texts, each with a word of its own after a dash and asked for after a replacement character."""
+    word = "translate(cast(id + 100000 as string), '0123456789', 'abcdefghij')"
+    df = spark.range(60_000).selectExpr(f"concat('so – w', {word}, ' and � W', {word}) as text")
+    got = words_after_dashes(df)
+    assert len(got) == 60_000 and min(got.values()) > 0.5
+    none = spark.createDataFrame([("a – b � zzz and � c1 zzz zzz",)], "text string")
+    assert words_after_dashes(none)["zzz"] == -4.0 and set(words_after_dashes(none)) == {"zzz", "c"}
