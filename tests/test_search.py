@@ -113,3 +113,27 @@ def test_rollup_upkeep(spark):
     assert {(x.target_uri, x["count"]) for x in RK.set_network_counts(counts, network).collect()} == {("a", 40), ("b", 1)}
     plan = RK.plan_sources([RK.Link("x", "p"), RK.Link("y", "p"), RK.Link("z", "p"), RK.Link("w", "p")], ["x", "y", "z"], {"x": RK.Coverage(9, 10), "y": RK.Coverage(8, 10), "z": RK.Coverage(complete=True)}, {"w": "local"})
     assert [s for _, s in plan] == ["local", "network", "local", "local"]
+
+
+def test_phrases_are_matched_on_terms_made_once(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [
+        {"extracted_title": "Night of the trains", "extracted_text": None},
+        {"extracted_text": f"{long} winter timetables"},
+        {"extracted_text": f"{long} winter", "extracted_title": "timetable"},
+        {"extracted_text": "night train to the glossaries, a glossary"},
+        {"extracted_text": "midnight trains; night trainee"},
+        {"extracted_text": "Night\ntrains", "lang": "fr"},
+        {"extracted_text": "NIGHT train", "lang": "fr"},
+        {"extracted_text": "libraries y", "extracted_title": None},
+        {},
+    ]
+    df = frame(spark, rows)
+    for text in ('"night train" or "winter timetable" -glossary', "library", "y", "-night", "the", '"library y" -train', "night trainee"):
+        q = S.parse_query(text)
+        want = sorted(x.id for x in S.searchable(df).filter(S.matches(q)).collect())
+        assert sorted(x.id for x in S.matching(df, q).collect()) == want
+        if text.startswith('"night'):
+            assert want == [0, 1, 6]
+            plan = S.matching(df, q)._jdf.queryExecution().optimizedPlan().toString()
+            assert "exists(" not in plan and plan.count("regexp_extract_all") <= 4
